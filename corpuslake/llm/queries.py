@@ -31,6 +31,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "quality", QUALITY, 3, 1)
 
 
+def op3_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codec import read, write
+    from .tokens import tokenizer_path
+
+    return read(write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2))
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree import score
 
@@ -83,6 +90,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_token_codec": op3_token_codec,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_pii": op6_pii,
