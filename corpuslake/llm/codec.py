@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import crc_ids, map_arrow, stash
 from .tokens import encoder
 
-BLOCK, LANES = 2048, 512
+BLOCK, LANES = 2048, 1024
 _HEAD = struct.Struct("<III")
 _TOP, _FULL, _LEAST = np.uint64(40), np.uint64((1 << 48) - 1), np.uint64(1 << 24)
 _LOW = np.uint64((1 << 40) - 1)
@@ -69,32 +69,34 @@ class _Lanes:
         self.prev2[:m] = self.prev1[:m]
         self.prev1[:m] = ids
 
-    def narrow(self, at: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray, emit) -> None:
-        """Take the part [low, low + size) of total of the ranges of lanes `at`; settled bytes go to emit(lanes, bytes)."""
-        x1, x2 = self.x1[at], self.x2[at]
-        r = (x2 - x1 + np.uint64(1)) // total
-        x1 = x1 + r * low
-        x2 = x1 + r * size - np.uint64(1)
+    def share(self, at, total: np.ndarray) -> np.ndarray:
+        """Width of one part of `total` in the ranges of lanes `at`."""
+        return (self.x2[at] - self.x1[at] + np.uint64(1)) // total.astype(np.uint64)
+
+    def narrow(self, at, lane: np.ndarray, r: np.ndarray, low: np.ndarray, size: np.ndarray, emit) -> None:
+        """Take the parts [low, low + size) of width r of lanes `at`, numbered `lane`; settled bytes go to emit(lanes, bytes)."""
+        x1 = self.x1[at] + r * low.astype(np.uint64)
+        x2 = x1 + r * size.astype(np.uint64) - np.uint64(1)
         while True:
-            settled = (x1 ^ x2) >> _TOP == 0
-            close = ~settled & (x2 - x1 < _LEAST)
-            if close.any():  # both sides give up the part beyond the next byte
-                x2 = np.where(close, x1 | _LOW, x2)
-                settled |= close
-            if not settled.any():
+            settled = (x1 ^ x2) <= _LOW
+            w = np.flatnonzero(settled | (x2 - x1 < _LEAST))
+            if not len(w):
                 break
-            w = np.flatnonzero(settled)
-            emit(at[w], x1[w] >> _TOP)
-            x1[w] = (x1[w] << np.uint64(8)) & _FULL
-            x2[w] = ((x2[w] << np.uint64(8)) & _FULL) | np.uint64(255)
+            a, b = x1[w], x2[w]
+            b = np.where(settled[w], b, a | _LOW)  # both sides give up the part beyond the next byte
+            emit(lane[w], a >> _TOP)
+            x1[w] = (a << np.uint64(8)) & _FULL
+            x2[w] = ((b << np.uint64(8)) & _FULL) | np.uint64(255)
         self.x1[at], self.x2[at] = x1, x2
 
 
+_SUMS = np.triu(np.ones((16, 17), np.float32), 1) * 8
+_ONES = np.arange(17, dtype=np.float32)
+
+
 def _frequencies(table: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Cumulated frequencies of the 16 next values, from 0."""
-    c = np.zeros((len(row), 17), np.uint64)
-    np.cumsum(table[row].astype(np.uint64) * np.uint64(8) + np.uint64(1), axis=1, out=c[:, 1:])
-    return c
+    """Cumulated frequencies (8 times the count, and 1) of the 16 next values, from 0; exact in single precision."""
+    return table[row].astype(np.float32) @ _SUMS + _ONES
 
 
 def _code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -119,16 +121,18 @@ def _code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         how = np.where(c2 == x, 0, np.where(c1 == x, 1, 2))
         w = lanes.weights[row].astype(np.uint64)
         cum = np.cumsum(w, axis=1)
-        every = np.arange(m)
-        lanes.narrow(every, cum[every, how] - w[every, how], w[every, how], cum[:, 2], emit)
+        every, here = np.arange(m), slice(0, m)
+        own = w[every, how]
+        lanes.narrow(here, every, lanes.share(here, cum[:, 2]), cum[every, how] - own, own, emit)
         new = np.flatnonzero(how == 2)
         if len(new):
             y = x[new]
+            k = np.arange(len(new))
             for level, shift in enumerate((12, 8, 4, 0)):
                 node, v = new * lanes.sizes[level] + (y >> (shift + 4)), (y >> shift) & 15
                 cum = _frequencies(lanes.counts[level], node)
-                k = np.arange(len(new))
-                lanes.narrow(new, cum[k, v], cum[k, v + 1] - cum[k, v], cum[:, 16], emit)
+                low = cum[k, v]
+                lanes.narrow(new, new, lanes.share(new, cum[:, 16]), low, cum[k, v + 1] - low, emit)
                 lanes.counts[level][node, v] += 1
         lanes.learn(m, x, how, s1, s2, row)
     result: list[bytes] = [b""] * n
@@ -162,23 +166,25 @@ def _decode_blocks(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
         s1, s2, c1, c2, row = lanes.predict(m)
         w = lanes.weights[row].astype(np.uint64)
         cum = np.cumsum(w, axis=1)
-        every = np.arange(m)
-        r = (lanes.x2[:m] - lanes.x1[:m] + np.uint64(1)) // cum[:, 2]
+        every, here = np.arange(m), slice(0, m)
+        r = lanes.share(here, cum[:, 2])
         at = (value[:m] - lanes.x1[:m]) // r
         how = (at >= cum[:, 0]).astype(np.int64) + (at >= cum[:, 1])
-        lanes.narrow(every, cum[every, how] - w[every, how], w[every, how], cum[:, 2], emit)
+        own = w[every, how]
+        lanes.narrow(here, every, r, cum[every, how] - own, own, emit)
         x = np.where(how == 0, c2, c1).astype(np.int64)
         new = np.flatnonzero(how == 2)
         if len(new):
             y = np.zeros(len(new), np.int64)
+            k = np.arange(len(new))
             for level in range(4):
                 node = new * lanes.sizes[level] + y
                 cum = _frequencies(lanes.counts[level], node)
-                r = (lanes.x2[new] - lanes.x1[new] + np.uint64(1)) // cum[:, 16]
-                at = (value[new] - lanes.x1[new]) // r
+                r = lanes.share(new, cum[:, 16])
+                at = ((value[new] - lanes.x1[new]) // r).astype(np.float32)
                 v = (at[:, None] >= cum[:, 1:16]).sum(1)
-                k = np.arange(len(new))
-                lanes.narrow(new, cum[k, v], cum[k, v + 1] - cum[k, v], cum[:, 16], emit)
+                low = cum[k, v]
+                lanes.narrow(new, new, r, low, cum[k, v + 1] - low, emit)
                 lanes.counts[level][node, v] += 1
                 y = y * 16 + v
             x[new] = y

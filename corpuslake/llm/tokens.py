@@ -25,20 +25,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        stem = piece.rstrip(".,;:!?")
-        if len(stem) < len(piece) and stem and stem[-1].isascii() and stem[-1].isalnum():
-            ids = self[stem] + self[piece[len(stem) :]]
-        else:
-            ids = tuple(self.encode(piece))
-        self[piece] = ids
-        return ids
-
-
 class PieceEncoder:
     """`spaces_count`: a single blank before a word belongs to the word's piece (byte-level BPE);
     otherwise white space is dropped and every word is a piece."""
@@ -49,11 +35,52 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces_count = spaces_count
-        self.pieces = _Pieces(self._whole)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: Tokens that begin a word with its blank, or end a word.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if spaces_count else token.endswith("</w>")
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _words(self, words: list[str]) -> None:
+        """Learn pieces of letters only, all encoded at once; each has one token with an edge."""
+        ids = np.asarray(self._whole(("" if self.spaces_count else " ").join(words)))
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            for w in words:
+                self.pieces[w] = tuple(self._whole(w))
+            return
+        cuts = (at[1:] if self.spaces_count else at[:-1] + 1).tolist()
+        flat = ids.tolist()
+        for w, a, b in zip(words, [0, *cuts], [*cuts, len(flat)], strict=True):
+            self.pieces[w] = tuple(flat[a:b])
+
+    def _learn(self, parts: list[str]) -> None:
+        known, words, joined, odd = self.pieces, {}, {}, {}
+        for piece in dict.fromkeys(parts):
+            if piece in known:
+                continue
+            stem = piece.rstrip(".,;:!?")
+            letters = stem[1:] if self.spaces_count else stem
+            if letters.isalpha() and (not self.spaces_count or stem[0] == " "):
+                if stem not in known:
+                    words[stem] = None
+                if len(stem) < len(piece):
+                    joined[piece] = stem
+                    if piece[len(stem) :] not in known:
+                        odd[piece[len(stem) :]] = None
+            else:
+                odd[piece] = None
+        if words:
+            self._words(list(words))
+        for piece in odd:
+            known[piece] = tuple(self._whole(piece))
+        for piece, stem in joined.items():
+            known[piece] = known[stem] + known[piece[len(stem) :]]
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
@@ -62,6 +89,7 @@ class PieceEncoder:
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         parts = self._cut(text) if self.spaces_count else text.split()
+        self._learn(parts)
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, parts)), dtype=np.uint32)
 
     @staticmethod
