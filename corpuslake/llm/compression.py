@@ -191,5 +191,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents whose score is at least `least`; all columns stay, whatever their names."""
+
+    def run(batches):
+        f = Lengths(model).features if model.weights is not None else lambda _: np.zeros(1)
+        for batch, texts in text_chunks(batches):
+            yield batch.filter(pa.array(probability(model, np.array([f(t) for t in texts])) >= least))
+
+    return map_arrow(docs, run, docs.schema) if model.weights is not None else docs
+
+
 TOXICITY = Settings(window=256, level=17, style="segments", lower=True)
 QUALITY = Settings(window=512, level=3, style="trained")
