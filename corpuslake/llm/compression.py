@@ -202,5 +202,5 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     return map_arrow(docs, run, docs.schema) if model.weights is not None else docs
 
 
-TOXICITY = Settings(window=256, level=17, style="segments", lower=True)
+TOXICITY = Settings(window=256, level=19, style="segments", lower=True)
 QUALITY = Settings(window=512, level=3, style="trained")
