@@ -1,10 +1,214 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and the SQL that they are checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import clean, conversations, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORDS = r"regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)?|[А-Яа-яЁё]+|\p{Nd}+')"
+_PREPARED = rf"""prepared AS (
+  SELECT *, len(regexp_extract_all(lower(text), '[Ѐ-ӿ]')) AS cyr, len(regexp_extract_all(lower(text), '[a-z]')) AS lat,
+         {_WORDS} AS ws, string_split(text, chr(10)) AS lines FROM documents
+), judged AS (
+  SELECT *, CASE WHEN cyr + lat = 0 THEN 'other' WHEN cyr * 4 >= cyr + lat THEN 'ru' WHEN lat * 5 >= (cyr + lat) * 4 THEN 'en' ELSE 'other' END AS language FROM prepared
+), reasoned AS (
+  SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'empty_removed'
+    WHEN contains(text, '�') OR len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1f]')) > greatest(2, length(text) // 1000) THEN 'corrupt_removed'
+    WHEN length(text) < 300 OR len(ws) < 50 THEN 'too_short_removed'
+    WHEN len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda w: length(w) >= 32 AND len(list_filter(range(length(w) - 31), lambda i: substr(w, i + 1, 32) = repeat(substr(w, i + 1, 1), 32))) > 0)) > 0 THEN 'noise_repeated_character_noise_removed'
+    WHEN len(ws) >= 100 AND len(list_distinct(list_transform(ws, lambda w: lower(w)))) * 25 < len(ws) THEN 'noise_low_lexical_diversity_removed'
+    WHEN len(regexp_extract_all(text, '(?i)https?://|www\.')) > greatest(5, len(ws) // 100) THEN 'noise_link_spam_removed'
+    WHEN len(lines) > 20 AND len(list_distinct(lines)) <= greatest(1, len(lines) // 5) THEN 'repetitive_noise_removed'
+    WHEN regexp_matches(text, '(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}') THEN 'sensitive_email_removed'
+    WHEN language NOT IN ('ru', 'en') THEN 'language_filtered_removed' END AS reason FROM judged
+)"""
+
+
+@query("clean_reasons", f"WITH {_PREPARED} SELECT coalesce(reason, 'kept') AS reason, language, count(*) AS n FROM reasoned GROUP BY ALL")
+def clean_reasons(spark, sf_dir):
+    return clean.judge(_read(spark, sf_dir, "documents")).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("clean_kept", f"WITH {_PREPARED}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM reasoned WHERE reason IS NULL) SELECT doc_id, language, len(ws) AS n_words FROM k WHERE nth = 1")
+def clean_kept(spark, sf_dir):
+    kept = clean.judge(_read(spark, sf_dir, "documents")).where("reason IS NULL")
+    return clean.first_of(kept, F.sha2("text", 256), "doc_id").select("doc_id", "language", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query("corpus_stats", f"WITH {_PREPARED} SELECT language, source, count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(len(ws)) AS BIGINT) AS words FROM reasoned WHERE reason IS NULL GROUP BY ALL")
+def corpus_stats(spark, sf_dir):
+    kept = clean.judge(_read(spark, sf_dir, "documents")).where("reason IS NULL")
+    return kept.groupBy("language", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum("n_words").cast("long").alias("words"))
+
+
+@query("exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) - 1 AS removed FROM documents GROUP BY text")
+def exact_dedup(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("removed")).drop("sha")
+
+
+@query("exact_dup_groups", "SELECT count(*) FILTER (n > 1) AS groups, CAST(sum(n - 1) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
+def exact_dup_groups(spark, sf_dir):
+    sizes = _read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count_if(F.col("n") > 1).alias("groups"), F.sum(F.col("n") - 1).alias("excess"))
+
+
+_SPLIT = "h AS (SELECT DISTINCT substr(sha256(concat('42', chr(0), text)), 1, 16) AS h FROM documents), k AS (SELECT h, row_number() OVER (ORDER BY h) AS r, count(*) OVER () AS n FROM h)"
+
+
+@query("hash_split", f"WITH {_SPLIT} SELECT d.doc_id, CASE WHEN k.r <= least(greatest(1, round_even(k.n * 0.01, 0)), k.n - 1) THEN 'validation' ELSE 'train' END AS split FROM documents d JOIN k ON substr(sha256(concat('42', chr(0), d.text)), 1, 16) = k.h")
+def hash_split(spark, sf_dir):
+    return clean.hash_split(_read(spark, sf_dir, "documents"), 0.01, 42).select("doc_id", "split")
+
+
+@query("every_nth", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE (r - 1) % 10 = 0")
+def every_nth(spark, sf_dir):
+    return clean.every_nth(_read(spark, sf_dir, "documents"), "doc_id", 0.1).select("doc_id")
+
+
+@query("language_shares", f"WITH {_PREPARED} SELECT language, count(*) AS n, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () AS share FROM judged GROUP BY language")
+def language_shares(spark, sf_dir):
+    counts = _read(spark, sf_dir, "documents").select(T.language(F.col("text")).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(counts.agg(F.sum("n").alias("every"))).select("language", "n", (F.col("n").cast("double") / F.col("every")).alias("share"))
+
+
+@query("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def source_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top_ngrams(n):
+    sql = rf"""WITH w AS (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM conversations WHERE role = 'assistant'),
+    g AS (SELECT unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(list_slice(ws, i, i + {n - 1}), ' '))) AS gram FROM w)
+    SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50"""
+
+    @query(f"ngram{n}_top", sql)
+    def top(spark, sf_dir):
+        ws = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        grams = _read(spark, sf_dir, "conversations").where("role = 'assistant'").select(ws.alias("ws")).select(F.explode(T.ngrams(F.col("ws"), n)).alias("gram"))
+        return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
+
+
+_top_ngrams(5)
+_top_ngrams(8)
+
+_TURNS = "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id"
+
+
+@query("turn_order_errors", f"SELECT conv_id, roles, NOT regexp_matches(roles, '^(system,)?user,assistant(,user,assistant)*$') AS bad FROM ({_TURNS})")
+def turn_order_errors(spark, sf_dir):
+    return conversations.turn_order(_read(spark, sf_dir, "conversations"))
+
+
+@query("repeated_turns", "SELECT conv_id, count(*) AS n, count(DISTINCT lower(trim(text))) AS n_distinct FROM conversations WHERE role = 'assistant' GROUP BY conv_id HAVING n > n_distinct")
+def repeated_turns(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("text"))).alias("n_distinct")).where("n > n_distinct")
+
+
+@query("length_buckets", "SELECT role, CASE WHEN w <= 32 THEN 'short' WHEN w <= 149 THEN 'medium' WHEN w <= 500 THEN 'long' ELSE 'extended' END AS bucket, count(*) AS n FROM (SELECT role, len(regexp_extract_all(text, '\\S+')) AS w FROM conversations) GROUP BY ALL".replace("\\\\", "\\"))
+def length_buckets(spark, sf_dir):
+    w = F.regexp_count("text", F.lit(r"\S+"))
+    bucket = F.when(w <= 32, "short").when(w <= 149, "medium").when(w <= 500, "long").otherwise("extended")
+    return _read(spark, sf_dir, "conversations").groupBy("role", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("loss_mask", "SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[^ ]+')) + 1) + 2 AS BIGINT) AS n_tokens, CAST(coalesce(sum(len(regexp_extract_all(text, '[^ ]+'))) FILTER (role = 'assistant'), 0) + 1 AS BIGINT) AS n_trained FROM conversations GROUP BY conv_id")
+def loss_mask(spark, sf_dir):
+    return conversations.mask_sizes(_read(spark, sf_dir, "conversations"))
+
+
+@query("benchmark_leak", "SELECT d.doc_id FROM documents d WHERE lower(trim(d.text)) IN (SELECT lower(trim(text)) FROM benchmark)")
+def benchmark_leak(spark, sf_dir):
+    key = F.sha2(F.lower(F.trim("text")), 256)
+    held_out = _read(spark, sf_dir, "benchmark").select(key.alias("k")).distinct()
+    return _read(spark, sf_dir, "documents").withColumn("k", key).join(held_out, "k", "left_semi").select("doc_id")
+
+
+@query("split_leakage", "SELECT count(*) AS leaks FROM (SELECT lower(trim(text)) AS k FROM conversations WHERE role = 'user' GROUP BY k HAVING count(DISTINCT conv_id % 2) > 1)")
+def split_leakage(spark, sf_dir):
+    prompts = _read(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.lower(F.trim("text")).alias("k")).agg(F.count_distinct(F.col("conv_id") % 2).alias("splits"))
+    return prompts.where("splits > 1").agg(F.count(F.lit(1)).alias("leaks"))
+
+
+@query("token_blocks", "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^ ]+')) + 1 AS n FROM documents), s AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS start FROM t) SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start // 1025 AS BIGINT) AS first_block, CAST((start + n - 1) // 1025 AS BIGINT) AS last_block FROM s")
+def token_blocks(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", (F.regexp_count("text", F.lit("[^ ]+")) + 1).cast("long").alias("n"))
+    placed = clean.prefix_sum(docs, "doc_id", "n", "start")
+    return placed.select("doc_id", "start", F.floor(F.col("start") / 1025).alias("first_block"), F.floor((F.col("start") + F.col("n") - 1) / 1025).alias("last_block"))
+
+
+_LOG = "log AS (SELECT user_id AS run, event_id AS step, value AS loss FROM events)"
+
+
+@query("best_loss", f"WITH {_LOG} SELECT run, step, min(loss) OVER (PARTITION BY run ORDER BY step) AS best FROM log")
+def best_loss(spark, sf_dir):
+    return telemetry.best_so_far(telemetry.log_of(_read(spark, sf_dir, "events")))
+
+
+@query("rise_streak", f"WITH {_LOG}, r AS (SELECT *, loss > lag(loss) OVER (PARTITION BY run ORDER BY step) AS up FROM log), g AS (SELECT *, sum(CASE WHEN coalesce(up, false) THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY step) AS island FROM r) SELECT run, step, CAST(sum(CASE WHEN coalesce(up, false) THEN 1 ELSE 0 END) OVER (PARTITION BY run, island ORDER BY step) AS BIGINT) AS streak FROM g")
+def rise_streak(spark, sf_dir):
+    return telemetry.rise_streak(telemetry.log_of(_read(spark, sf_dir, "events")))
+
+
+@query("log_replay", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def log_replay(spark, sf_dir):
+    return telemetry.replay(_read(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value")
+
+
+@query("perplexity", f"WITH {_LOG} SELECT run, exp(least(avg(loss), 20)) AS perplexity FROM log GROUP BY run")
+def perplexity(spark, sf_dir):
+    return telemetry.log_of(_read(spark, sf_dir, "events")).groupBy("run").agg(F.exp(F.least(F.avg("loss"), F.lit(20.0))).alias("perplexity"))
+
+
+@query("lr_schedule", "SELECT step, CASE WHEN step < 100 THEN (step + 1) / 100.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least((step - 100) / 900.0::DOUBLE, 1.0))) END AS scale FROM range(1000) t(step)")
+def lr_schedule(spark, sf_dir):
+    return telemetry.lr_scale(spark.range(1000).withColumnRenamed("id", "step"), 100, 1000, 0.1)
+
+
+@query("topk_scores", "WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS token, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings), r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY score DESC) AS r FROM s) SELECT vec_id, CAST(token AS BIGINT) AS token, score FROM r WHERE r <= 5")
+def topk_scores(spark, sf_dir):
+    return telemetry.top_k(telemetry.scores_of(_read(spark, sf_dir, "embeddings")), 5)
+
+
+@query("arithmetic_rows", "SELECT a, b, op, CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE a // b END AS answer FROM range(1, 151) x(a), range(1, 91) y(b), (VALUES ('+'), ('-'), ('*'), ('/')) o(op) WHERE op <> '/' OR a % b = 0")
+def arithmetic_rows(spark, sf_dir):
+    a, b = spark.range(1, 151).withColumnRenamed("id", "a"), spark.range(1, 91).withColumnRenamed("id", "b")
+    rows = a.crossJoin(b).withColumn("op", F.explode(F.array(*map(F.lit, "+-*/")))).where("op <> '/' OR a % b = 0")
+    return rows.withColumn("answer", F.expr("CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE a div b END"))
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    from .functions.html import strip_html
+
+    return _read(spark, sf_dir, "pages").select("page_id", strip_html("html").alias("text"))
+
+
+@query("nfc_normalize", "SELECT doc_id, sha256(nfc_normalize(text)) AS sha FROM documents")
+def nfc_normalize(spark, sf_dir):
+    from .functions.html import nfc
+
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(nfc("text"), 256).alias("sha"))
