@@ -34,6 +34,8 @@ from .common import SPACES, WordHasher, gram_hashes, map_arrow, mix, partitions,
 SAMPLE_DOCS, SAMPLE_FREQUENT = 4000, 4
 #: Members of a tile, bits of a bitmap.
 TILE, BITS = 1024, 1024
+#: Bits of the bitmap that candidates are held against before their arrays travel.
+WIDE = 16384
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -61,9 +63,9 @@ def _class_of(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(s >> np.uint64(20)) % np.uint64(BITS)] = 1
+def bitmap(s: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -163,6 +165,7 @@ def _near_enough(a, b, t: Fraction):
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose exact overlap reaches the threshold, by intersecting sorted arrays."""
+    pairs = _bounded(pairs, sets.select("cls", (F.length("items") / 8).cast("long").alias("n"), F.col("wide").alias("data")), t)
     one = sets.select(F.col("cls").alias("a"), F.col("items").alias("xa"))
     two = sets.select(F.col("cls").alias("b"), F.col("items").alias("xb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -188,7 +191,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            m = [np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint64).reshape(x.num_rows, BITS // 64) for c in ("ma", "mb")]
+            m = [np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint64).reshape(x.num_rows, -1) for c in ("ma", "mb")] if x.num_rows else [np.zeros((0, 1), np.uint64)] * 2
             differ = np.bitwise_count(m[0] ^ m[1]).sum(1).astype(np.int64)
             both = np.asarray(x.column("na")) + np.asarray(x.column("nb"))
             most = (both - differ) // 2
@@ -269,9 +272,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(texts, hasher, k)
             #: A repeated doc_id may have other texts.
             own = pa.array([_class_of(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], names=["cls", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own), pa.array([bitmap(s, WIDE) for s in sets], pa.binary()).filter(own)], names=["cls", "items", "wide"])
 
-    return map_arrow(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text"), run, "cls long, items binary").dropDuplicates(["cls"])
+    return map_arrow(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text"), run, "cls long, items binary, wide binary").dropDuplicates(["cls"])
 
 
 def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> DataFrame:
@@ -285,7 +288,9 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
     classes = stash(rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data")), "classes")
     groups = stash(_groups(scanned.where("bucket is not null"), buckets), "groups")
     other = groups.where((F.col("star") != F.col("cls")) & _near_enough(F.col("n"), F.col("star_n"), t))
-    stars = other.select(F.least("cls", "star").alias("a"), F.greatest("cls", "star").alias("b")).distinct()
+    #: A class is held against the star that it shares most shingles with; other stars are left to the tiles.
+    most = other.groupBy("cls", "star").agg(F.count(F.lit(1)).alias("m")).groupBy("cls").agg(F.max_by("star", F.struct("m", "star")).alias("star"))
+    stars = most.select(F.least("cls", "star").alias("a"), F.greatest("cls", "star").alias("b")).distinct()
     stars = stash(_bounded(stars, classes, t), "stars")
     links = stash(_verified(stars, _items(docs, classes, stars, k), t), "links")
     labels = components(links)
