@@ -142,7 +142,7 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span by its kind in brackets; overlapping spans are replaced once, by the earlier kind."""
-    spans, mark = "__pii_spans", F.col("__pii_spans")
+    spans, mark = "__spans_found", F.col("__spans_found")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
