@@ -36,6 +36,8 @@ SAMPLE_DOCS, SAMPLE_FREQUENT = 4000, 4
 TILE, BITS = 1024, 1024
 #: Bits of the bitmap that candidates are held against before their arrays travel.
 WIDE = 16384
+#: Rows (of two numbers) that may be sent to every executor.
+SMALL = 200_000
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -85,8 +87,11 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(rows.select("s").toPandas()["s"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """Rows of two kinds: a document with its class and bitmap, and a bucket of (shingle, class, size) of prefixes."""
+def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarray, prefixes: bool) -> DataFrame:
+    """Documents with their class and bitmap, or else (`prefixes`) buckets of (shingle, class, size).
+
+    The buckets are the larger part; they go straight into a shuffle and are never stored.
+    """
 
     def run(batches):
         hasher, seen = WordHasher(SPACES, lower=True), set()
@@ -96,10 +101,12 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
             fresh, maps = [], []
             for s, c in zip(sets, names, strict=True):
                 new = c != 0 and c not in seen
-                maps.append(bitmap(s) if new else None)
+                maps.append(bitmap(s) if new and not prefixes else None)
                 if new:
                     if len(seen) < 500_000:
                         seen.add(c)
+                    if not prefixes:
+                        continue
                     n = len(s)
                     keep = n - -(-n * t.numerator // t.denominator) + 1
                     late = frequent[np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))] == s if len(frequent) else np.zeros(n, dtype=bool)
@@ -107,7 +114,8 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
                     fresh.append((p, c, n))
             size = [len(s) for s in sets]
             none = pa.nulls(len(names), pa.int32())
-            yield pa.RecordBatch.from_arrays([none, batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["bucket", "doc_id", "cls", "n", "data"])
+            if not prefixes:
+                yield pa.RecordBatch.from_arrays([none, batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["bucket", "doc_id", "cls", "n", "data"])
             if fresh:
                 token = np.concatenate([p for p, _, _ in fresh])
                 many = [len(p) for p, _, _ in fresh]
@@ -282,11 +290,11 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
     spark, t = docs.sparkSession, Fraction(threshold)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     buckets = partitions(spark)
-    scanned = stash(_scan(docs, k, t, buckets, _frequent(docs, k)), "jaccard")
-    rows = scanned.where("bucket is null").select("doc_id", "cls", "n", "data")
+    frequent = _frequent(docs, k)
+    rows = stash(_scan(docs, k, t, buckets, frequent, False).select("doc_id", "cls", "n", "data"), "jaccard")
     #: A class is represented by its least document.
     classes = stash(rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data")), "classes")
-    groups = stash(_groups(scanned.where("bucket is not null"), buckets), "groups")
+    groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets), "groups")
     other = groups.where((F.col("star") != F.col("cls")) & _near_enough(F.col("n"), F.col("star_n"), t))
     #: A class is held against the star that it shares most shingles with; other stars are left to the tiles.
     most = other.groupBy("cls", "star").agg(F.count(F.lit(1)).alias("m")).groupBy("cls").agg(F.max_by("star", F.struct("m", "star")).alias("star"))
@@ -306,7 +314,9 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
 
 def _items(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    return stash(_sets(docs, classes.select("cls", "doc_id").join(wanted, "cls"), k), "sets")
+    chosen = stash(classes.select("cls", "doc_id").join(wanted, "cls"), "wanted")
+    #: Sent to executors only while it is small; beyond that the documents are shuffled.
+    return stash(_sets(docs, F.broadcast(chosen) if chosen.count() <= SMALL else chosen, k), "sets")
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> DataFrame:
