@@ -132,7 +132,7 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
 
 
 def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(s, cls, n, star, star_n) of the prefix shingles that several classes have."""
+    """(s, cls, n, star, star_n, times) of the sets s of classes that share prefix shingles, and how many they share."""
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -159,12 +159,22 @@ def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
             o = np.lexsort((mix(c.view(np.uint64)), group))
             star = o[first][group] if len(s) else o
+            #: Groups with the same members give the same candidates: one of them stays, with their number.
+            name = mix(np.add.reduceat(mix(c.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), first)) if len(s) else s
+            name, one, times = np.unique(name, return_index=True, return_counts=True)
+            chosen = np.zeros(len(first), dtype=np.int64)
+            chosen[one] = times
+            label = np.zeros(len(first), dtype=np.uint64)
+            label[one] = name
+            stay = chosen[group] > 0
+            s, c, n, star, star_n, times = label[group][stay], c[stay], n[stay], c[star[stay]], n[star[stay]], chosen[group][stay]
             for a in range(0, len(s), 100_000):
                 cut = slice(a, a + 100_000)
-                cols = (s[cut].view(np.int64), c[cut], n[cut], c[star[cut]], n[star[cut]])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["s", "cls", "n", "star", "star_n"])
+                cols = (s[cut].view(np.int64), c[cut], n[cut], star[cut], star_n[cut], times[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["s", "cls", "n", "star", "star_n", "times"])
 
-    return map_arrow(blobs.repartition(buckets, "bucket").select("bucket", "data"), run, "s long, cls long, n long, star long, star_n long")
+    found = map_arrow(blobs.repartition(buckets, "bucket").select("bucket", "data"), run, "s long, cls long, n long, star long, star_n long, times long")
+    return found.groupBy("s", "cls").agg(F.first("n").alias("n"), F.first("star").alias("star"), F.first("star_n").alias("star_n"), F.sum("times").alias("times"))
 
 
 def _near_enough(a, b, t: Fraction):
@@ -297,7 +307,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
     groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets), "groups")
     other = groups.where((F.col("star") != F.col("cls")) & _near_enough(F.col("n"), F.col("star_n"), t))
     #: A class is held against the star that it shares most shingles with; other stars are left to the tiles.
-    most = other.groupBy("cls", "star").agg(F.count(F.lit(1)).alias("m")).groupBy("cls").agg(F.max_by("star", F.struct("m", "star")).alias("star"))
+    most = other.groupBy("cls", "star").agg(F.sum("times").alias("m")).groupBy("cls").agg(F.max_by("star", F.struct("m", "star")).alias("star"))
     stars = most.select(F.least("cls", "star").alias("a"), F.greatest("cls", "star").alias("b")).distinct()
     stars = stash(_bounded(stars, classes, t), "stars")
     links = stash(_verified(stars, _items(docs, classes, stars, k), t), "links")
