@@ -10,8 +10,10 @@ a wavelet matrix of packed bits with counts per word of 64 bits.  Backward searc
 of the shard in step, finds the longest match before every end with a range of suffixes among whose
 documents one is earlier; matches of `size` words or more are the intervals reported.
 
-An anchor with more than MANY different segments could fill a shard, so its segments are split
-into single windows first, of which those that occur more than once go to shards by their own hash.
+An anchor with more than MANY different segments could fill a shard, so its different segments are cut
+into single windows, of which those that several documents have go to shards by their own hash.  Windows
+travel as packed records; each task names the least documents of a window before anything is shuffled, and
+what was found is told to the windows bucket by bucket, so a hot window needs no task of its own.
 
 Windows are judged on the input.  Cases: null and empty texts have no words; texts shorter than a window
 lose none; a document's own repeats stay, and rows with equal doc_id are not earlier than each
@@ -34,8 +36,13 @@ ANCHOR = 8
 MANY = 512
 #: Words of a shard, about.
 SHARD_WORDS = 200_000
-NO_ID = -(1 << 63)
+#: Windows of hot anchors in a bucket, about.
+BUCKET_WINDOWS = 2_000_000
+NO_ID, NEVER = -(1 << 63), (1 << 63) - 1
 _SEG = np.dtype([("a", "<u8"), ("g", "<u8"), ("d", "<i8"), ("i", "<u4"), ("n", "<u4")])
+_WINDOW = np.dtype([("w", "<i8"), ("g", "<i8"), ("d", "<i8"), ("second", "<i8"), ("i", "<u4"), ("n", "<u4"), ("rel", "<u4")])
+_FIRST = np.dtype([("w", "<i8"), ("d", "<i8"), ("second", "<i8"), ("i", "<i8")])
+_HIT = np.dtype([("g", "<i8"), ("rel", "<u4"), ("d", "<i8"), ("i", "<u4"), ("n", "<u4"), ("own", "?"), ("copied", "?")])
 
 
 class _Hashed:
@@ -97,12 +104,7 @@ def _anchors(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             rec = np.empty(len(doc), dtype=_SEG)
             rec["a"], rec["g"], rec["i"], rec["n"] = a, h.run(at, n), at - h.first[doc], n
             rec["d"] = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)[doc] if len(doc) else 0
-            b = (a % np.uint64(buckets)).astype(np.int32)
-            o = np.argsort(b, kind="stable")
-            rec, b = rec[o], b[o]
-            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
-            data = [x.tobytes() for x in np.split(rec, cut[1:])] if len(b) else []
-            yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+            yield _packed(rec, a % np.uint64(buckets), buckets)
 
     return map_arrow(docs, run, "bucket int, data binary")
 
@@ -148,8 +150,8 @@ def _candidates(anchors: DataFrame, buckets: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The words of wanted segments (d, i, n, g, second, shard_key, hot); of hot ones the hashes of their windows."""
-    own = wanted.groupBy("d").agg(F.collect_list(F.struct("i", "n", "g", "second", "a", "hot")).alias("segments"))
+    """The words of wanted segments (d, i, n, g, second, a)."""
+    own = wanted.groupBy("d").agg(F.collect_list(F.struct("i", "n", "g", "second", "a")).alias("segments"))
 
     def run(batches):
         hasher = WordHasher(SPACES)
@@ -166,14 +168,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 for s, g in zip(fits, true, strict=True):
                     if g != s["g"]:
                         continue
-                    if s["hot"]:
-                        starts = np.arange(s["i"], s["i"] + s["n"] - size + 1)
-                        for i, w in zip(starts.tolist(), h.run(starts + a, np.full(len(starts), size)).view(np.int64).tolist(), strict=True):
-                            for col, x in zip(out, (d, i, size, w, s["second"], w, None), strict=True):
-                                col.append(x)
-                    else:
-                        for col, x in zip(out, (d, s["i"], s["n"], g, s["second"], s["a"], b" ".join(words[s["i"] : s["i"] + s["n"]])), strict=True):
-                            col.append(x)
+                    for col, x in zip(out, (d, s["i"], s["n"], g, s["second"], s["a"], b" ".join(words[s["i"] : s["i"] + s["n"]])), strict=True):
+                        col.append(x)
             types = (pa.int64(),) * 6 + (pa.binary(),)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["d", "i", "n", "g", "second", "a", "words"])
 
@@ -318,6 +314,142 @@ def _search(segments: DataFrame, shards: int, size: int) -> DataFrame:
     return map_arrow(spread.repartition(partitions(segments.sparkSession), "shard").sortWithinPartitions("shard").select("shard", "g", "d", "i", "n", "second", "words"), run, "g long, d long, i long, rel long, n long, copies boolean")
 
 
+def _packed(rec: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Records by bucket of a signed key, a row for each bucket."""
+    b = (key % buckets).astype(np.int32)
+    o = np.argsort(b, kind="stable")
+    rec, b = rec[o], b[o]
+    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    data = [x.tobytes() for x in np.split(rec, cut[1:])] if len(b) else []
+    return pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+def _cut(docs: DataFrame, hot: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Packed windows of the hot segments."""
+    own = hot.groupBy("d").agg(F.collect_list(F.struct("i", "n", "g", "second")).alias("segments"))
+
+    def run(batches):
+        hasher = WordHasher(SPACES)
+        for batch, texts in text_chunks(batches):
+            h = _Hashed(texts, hasher)
+            parts = []
+            for d, segments, a, b in zip(batch.column("d").to_pylist(), batch.column("segments").to_pylist(), h.first[:-1].tolist(), h.first[1:].tolist(), strict=True):
+                fits = [s for s in segments if s["i"] + s["n"] <= b - a]
+                if not fits:
+                    continue
+                i, n, g, second = (np.array([s[k] for s in fits], dtype=np.int64) for k in ("i", "n", "g", "second"))
+                true = h.run(i + a, n).view(np.int64) == g  # rows with equal doc_id may have other texts
+                i, n, g, second = i[true], n[true], g[true], second[true]
+                many = n - size + 1
+                rel = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                rec = np.empty(len(rel), dtype=_WINDOW)
+                for name, x in (("g", g), ("second", second), ("i", i), ("n", n)):
+                    rec[name] = np.repeat(x, many)
+                rec["d"], rec["rel"] = d, rel
+                rec["w"] = h.run(rec["i"].astype(np.int64) + rel + a, np.full(len(rel), size)).view(np.int64)
+                parts.append(rec)
+            if parts:
+                rec = np.concatenate(parts)
+                yield _packed(rec, rec["w"], buckets)
+
+    return map_arrow(docs.join(own, docs["doc_id"] == own["d"]).select("d", "segments", "text"), run, "bucket int, data binary")
+
+
+def _least_two(rec: np.ndarray) -> np.ndarray:
+    """One record for each window: its least document with the place there, and the next document."""
+    rec = rec[np.lexsort((rec["i"], rec["d"], rec["w"]))]
+    start = np.flatnonzero(np.concatenate(([True], rec["w"][1:] != rec["w"][:-1]))) if len(rec) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rec))))
+    out = rec[start].copy()
+    other = np.where(rec["d"] > out["d"][group], rec["d"], rec["second"])
+    if len(rec):
+        out["second"] = np.minimum.reduceat(np.minimum(other, rec["second"]), start)
+    return out
+
+
+def _shared_windows(windows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Windows that several documents have, as segments (d, i, n, g, second, a) of their least document."""
+
+    def partial(batches):
+        held, n = [], 0
+        for batch in batches:
+            for x in batch.column("data").to_pylist():
+                seen = np.frombuffer(x, dtype=_WINDOW)
+                rec = np.empty(len(seen), dtype=_FIRST)
+                rec["w"], rec["d"], rec["second"], rec["i"] = seen["w"], seen["d"], seen["second"], seen["i"] + seen["rel"]
+                held.append(rec)
+                n += len(rec)
+            if n > 2_000_000:
+                held = [_least_two(np.concatenate(held))]
+                yield _packed(held[0], held[0]["w"], buckets)
+                held, n = [], 0
+        if held:
+            rec = _least_two(np.concatenate(held))
+            yield _packed(rec, rec["w"], buckets)
+
+    def final(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                held.setdefault(b, []).append(np.frombuffer(x, dtype=_FIRST))
+                if len(held[b]) > 64:
+                    held[b] = [_least_two(np.concatenate(held[b]))]
+        for parts in held.values():
+            rec = _least_two(np.concatenate(parts))
+            rec = rec[rec["second"] != NEVER]
+            w = pa.array(np.ascontiguousarray(rec["w"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec["d"])), pa.array(np.ascontiguousarray(rec["i"])), pa.array(np.full(len(rec), size, np.int64)), w, pa.array(np.ascontiguousarray(rec["second"])), w], names=["d", "i", "n", "g", "second", "a"])
+
+    return map_arrow(map_arrow(windows, partial, "bucket int, data binary").repartition(buckets, "bucket"), final, "d long, i long, n long, g long, second long, a long")
+
+
+def _hot_matches(docs: DataFrame, hot: DataFrame, size: int, buckets: int) -> DataFrame:
+    """What _search gives, for the different segments of hot anchors, by their windows."""
+    many = max(buckets, hot.agg(F.sum(F.col("n") - (size - 1))).first()[0] // BUCKET_WINDOWS)
+    windows = stash(_cut(docs, hot, size, many), "windows")
+    shared = stash(_shared_windows(windows, size, many), "shared")
+    found = _search(_contents(docs, shared, size), max(buckets, shared.count() * size // SHARD_WORDS), size)
+    told = found.where("copies").groupBy(F.pmod("g", F.lit(many)).cast("int").alias("bucket")).agg(F.collect_list(F.struct("g", "d")).alias("told"))
+
+    def tell(batches):
+        for batch in batches:
+            for data, told in zip(batch.column("data").to_pylist(), batch.column("told").to_pylist(), strict=True):
+                rec = np.frombuffer(data, dtype=_WINDOW)
+                w, own = (np.array([t[k] for t in told], dtype=np.int64) for k in ("g", "d"))
+                o = np.argsort(w)
+                w, own = w[o], own[o]
+                at = np.minimum(np.searchsorted(w, rec["w"]), len(w) - 1)
+                hit = w[at] == rec["w"]
+                rec, own = rec[hit], own[at[hit]]
+                out = np.empty(len(rec), dtype=_HIT)
+                for name in ("g", "d", "i", "n", "rel"):
+                    out[name] = rec[name]
+                out["own"], out["copied"] = own < rec["d"], rec["second"] != NEVER
+                yield _packed(out, out["g"], many)
+
+    def join_up(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                held.setdefault(b, []).append(np.frombuffer(x, dtype=_HIT))
+        for parts in held.values():
+            rec = np.unique(np.concatenate(parts))
+            mine = rec[rec["own"]]
+            new = np.concatenate(([True], (mine["g"][1:] != mine["g"][:-1]) | (mine["rel"][1:] != mine["rel"][:-1] + 1))) if len(mine) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            runs = np.diff(np.append(first, len(mine)))
+            x = mine[first]
+            #: A copy is covered whole once every window of its segment is.
+            g, at, count = np.unique(rec["g"][rec["copied"]], return_index=True, return_counts=True)
+            y = rec[rec["copied"]][at]
+            y = y[count == y["n"] - (size - 1)]
+            cols = [np.concatenate((x["g"], y["g"])), np.concatenate((x["d"], y["d"])), np.concatenate((x["i"].astype(np.int64) + x["rel"], y["i"].astype(np.int64))), np.concatenate((x["rel"].astype(np.int64), np.zeros(len(y), np.int64))), np.concatenate((runs + size - 1, y["n"].astype(np.int64))), np.repeat([False, True], [len(x), len(y)])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["g", "d", "i", "rel", "n", "copies"])
+
+    hits = map_arrow(windows.join(told, "bucket").select("data", "told"), tell, "bucket int, data binary")
+    return map_arrow(hits.repartition(many, "bucket"), join_up, "g long, d long, i long, rel long, n long, copies boolean")
+
+
 def repeated(docs: DataFrame, size: int = 50) -> DataFrame:
     """(d, i, n): words i to i + n of document d stand in windows that an earlier document has."""
     spark = docs.sparkSession
@@ -328,22 +460,13 @@ def repeated(docs: DataFrame, size: int = 50) -> DataFrame:
     shards = max(buckets, wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SHARD_WORDS)
     texts = stash(_contents(docs, wanted.where("not hot"), size), "contents")
     found = stash(_search(texts, shards, size), "matches")
-    copies = cand.where("copy and not hot").join(found.where("copies").select("g").distinct(), "g").select("d", "i", "n")
+    hot = wanted.where("hot")
+    if not hot.isEmpty():
+        found = found.unionByName(stash(_hot_matches(docs, hot, size, buckets), "hot"))
+    copies = cand.where("copy").join(found.where("copies").select("g").distinct(), "g").select("d", "i", "n")
     own = found.where("not copies")
-    again = cand.where("not lead and not copy and not hot").select("d", F.col("i").alias("at"), "g").join(own.select("g", "rel", "n"), "g").select("d", (F.col("at") + F.col("rel")).alias("i"), "n")
-    out = own.select("d", "i", "n").unionByName(copies).unionByName(again)
-    hot = cand.where("hot")
-    if hot.isEmpty():
-        return out
-    #: Windows of the hot anchors by hash; each copy of a segment is cut as well.
-    never = F.lit(int(np.iinfo(np.int64).max))
-    windows = stash(_contents(docs, hot.withColumn("second", never), size).select("g", "d", "i"), "windows")
-    several = windows.groupBy("g").agg(F.min(F.struct("d", "i")).alias("at"), F.max("d").alias("most")).where(F.col("at.d") < F.col("most"))
-    next_doc = windows.join(several.select("g", F.col("at.d").alias("own")), "g").where("d > own").groupBy("g").agg(F.min("d").alias("second"))
-    lead = stash(several.join(next_doc, "g").select(F.col("at.d").alias("d"), F.col("at.i").alias("i"), F.lit(size).cast("long").alias("n"), "g", "second", F.col("g").alias("a"), F.lit(False).alias("hot")), "leads")
-    more = stash(_search(_contents(docs, lead, size), max(buckets, lead.count() * size // SHARD_WORDS), size), "more")
-    ok = more.where("copies").groupBy("g").agg(F.min("d").alias("own"))
-    return out.unionByName(windows.join(ok, "g").where("d > own").select("d", "i", F.lit(size).cast("long").alias("n")))
+    again = cand.where("not lead and not copy").select("d", F.col("i").alias("at"), "g").join(own.select("g", "rel", "n"), "g").select("d", (F.col("at") + F.col("rel")).alias("i"), "n")
+    return own.select("d", "i", "n").unionByName(copies).unionByName(again)
 
 
 def removed(docs: DataFrame, size: int = 50) -> DataFrame:
