@@ -5,9 +5,11 @@ with the shingles of every set in one order for all, two sets at or above the th
 shingle among the first n - ceil(t n) + 1 of each.  The order is by hash, with shingles that a bounded
 sample finds frequent last; any order gives the same links, a good one fewer candidates.
 
-Classes that share such a shingle are a group.  First every class is held against the one of
-least hash in its groups, which already joins large groups of near copies into components
-with as many comparisons as there are members.  Then, only in groups that still hold several
+First large groups of near copies are joined with few comparisons: every class has a few keys of two
+minima of its hashes each, and is held against the least class that has the same key.  It is a
+shortcut only, whatever it misses is found after it.  Classes that share a prefix shingle are a group.  In
+a few rounds each class is held against the one of another component in its tile that its bitmap finds
+most alike, so that dense groups become one component without all their pairs.  Then, only in groups that still hold several
 components, classes of different components are compared in tiles: members are dealt to tiles of
 bounded size, sorted by set size, and in each pair of tiles only classes within the size band are
 held against each other, first by hashed bitmaps (every bit in which two bitmaps differ is a shingle
@@ -38,6 +40,10 @@ TILE, BITS = 1024, 1024
 WIDE = 16384
 #: Rows (of two numbers) that may be sent to every executor.
 SMALL = 200_000
+#: Residues of hashes whose minima make the keys of a class.
+PAIRED = np.array([(0, 1), (2, 3), (4, 5), (6, 7), (0, 4), (1, 5)]).T
+#: Rounds in which only the most alike are held against each other, before all pairs that are left.
+ROUNDS = 2
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -71,6 +77,13 @@ def bitmap(s: np.ndarray, size: int = BITS) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Keys of two minima each; sets with much in common share some of them."""
+    least = np.zeros(8, dtype=np.uint64)
+    least[(s & np.uint64(7))[::-1].astype(np.int64)] = s[::-1]  # sorted: the first of a residue is set last
+    return mix(least[PAIRED[0]] * np.uint64(0x9FB21C651E98DF25) + least[PAIRED[1]] + np.arange(len(PAIRED[0]), dtype=np.uint64)).tobytes()
+
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of at least SAMPLE_FREQUENT of at most SAMPLE_DOCS documents; it steers the order, never the result."""
 
@@ -101,7 +114,7 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
             fresh, maps = [], []
             for s, c in zip(sets, names, strict=True):
                 new = c != 0 and c not in seen
-                maps.append(bitmap(s) if new and not prefixes else None)
+                maps.append(sketch(s) + bitmap(s) if new and not prefixes else None)
                 if new:
                     if len(seen) < 500_000:
                         seen.add(c)
@@ -132,7 +145,7 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
 
 
 def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(s, cls, n, star, star_n, times) of the sets s of classes that share prefix shingles, and how many they share."""
+    """(s, cls, n) of the sets s of classes that share prefix shingles."""
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -154,27 +167,35 @@ def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
             same = s[1:] == s[:-1]
             several = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(s) else np.zeros(0, dtype=bool)
             s, c, n = s[several], c[several], n[several].astype(np.int64)
-            #: The member of least hash is the star of the group.
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, dtype=np.int64)
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
-            o = np.lexsort((mix(c.view(np.uint64)), group))
-            star = o[first][group] if len(s) else o
-            #: Groups with the same members give the same candidates: one of them stays, with their number.
+            #: Groups with the same members give the same candidates: one of them stays.
             name = mix(np.add.reduceat(mix(c.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), first)) if len(s) else s
-            name, one, times = np.unique(name, return_index=True, return_counts=True)
-            chosen = np.zeros(len(first), dtype=np.int64)
-            chosen[one] = times
-            label = np.zeros(len(first), dtype=np.uint64)
-            label[one] = name
-            stay = chosen[group] > 0
-            s, c, n, star, star_n, times = label[group][stay], c[stay], n[stay], c[star[stay]], n[star[stay]], chosen[group][stay]
+            one = np.unique(name, return_index=True)[1]
+            chosen = np.zeros(len(first), dtype=bool)
+            chosen[one] = True
+            stay = chosen[group]
+            s, c, n = name[group][stay], c[stay], n[stay]
             for a in range(0, len(s), 100_000):
                 cut = slice(a, a + 100_000)
-                cols = (s[cut].view(np.int64), c[cut], n[cut], star[cut], star_n[cut], times[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["s", "cls", "n", "star", "star_n", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[cut].view(np.int64), c[cut], n[cut])], names=["s", "cls", "n"])
+
+    return map_arrow(blobs.repartition(buckets, "bucket").select("bucket", "data"), run, "s long, cls long, n long").distinct()
+
+
+def _stars(classes: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of each class and the least classes that share its keys."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(x[: 8 * len(PAIRED[0])] for x in batch.column("keys").to_pylist()), dtype=np.int64)
+            again = lambda c: pa.array(np.repeat(np.asarray(batch.column(c)), len(PAIRED[0])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), again("cls"), again("n")], names=["key", "cls", "n"])
 
-    found = map_arrow(blobs.repartition(buckets, "bucket").select("bucket", "data"), run, "s long, cls long, n long, star long, star_n long, times long")
-    return found.groupBy("s", "cls").agg(F.first("n").alias("n"), F.first("star").alias("star"), F.first("star_n").alias("star_n"), F.sum("times").alias("times"))
+    keyed = map_arrow(classes.select("cls", "n", "keys"), run, "key long, cls long, n long")
+    least = keyed.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "star")
+    both = keyed.join(least, "key").where((F.col("star.cls") != F.col("cls")) & _near_enough(F.col("n"), F.col("star.n"), t))
+    return both.select(F.col("star.cls").alias("a"), F.col("cls").alias("b")).distinct()
 
 
 def _near_enough(a, b, t: Fraction):
@@ -234,8 +255,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """Candidate pairs of different components in the groups that hold several, tile by tile."""
+def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction, best: bool = False) -> DataFrame:
+    """Candidate pairs of different components in the groups that hold several, tile by tile.
+
+    With `best`, each class of a tile gives only the pair that its bitmap finds most alike.
+    """
     named = groups.join(comps, "cls", "left").select("s", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     mixed = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
     rows = named.join(mixed.select("s", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "s").join(classes.select("cls", "data"), "cls")
@@ -254,7 +278,12 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction)
             most = (both - differ) // 2
             small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
             ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[x, None] != comp[None, y]) & (small * t.denominator >= large * t.numerator)
-            i, j = np.nonzero(np.triu(ok, 1))
+            ok = np.triu(ok, 1)
+            if best:
+                i = np.flatnonzero(ok.any(1))
+                j = np.where(ok, most / np.maximum(both - most, 1), -1.0)[i].argmax(1)
+            else:
+                i, j = np.nonzero(ok)
             yield c[x][i], c[y][j]
 
     def run(batches):
@@ -303,19 +332,22 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
     frequent = _frequent(docs, k)
     rows = stash(_scan(docs, k, t, buckets, frequent, False).select("doc_id", "cls", "n", "data"), "jaccard")
     #: A class is represented by its least document.
-    classes = stash(rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data")), "classes")
-    groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets), "groups")
-    other = groups.where((F.col("star") != F.col("cls")) & _near_enough(F.col("n"), F.col("star_n"), t))
-    #: A class is held against the star that it shares most shingles with; other stars are left to the tiles.
-    most = other.groupBy("cls", "star").agg(F.sum("times").alias("m")).groupBy("cls").agg(F.max_by("star", F.struct("m", "star")).alias("star"))
-    stars = most.select(F.least("cls", "star").alias("a"), F.greatest("cls", "star").alias("b")).distinct()
+    classes = rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data"))
+    keys = 8 * len(PAIRED[0])
+    classes = stash(classes.select("cls", "doc_id", "n", F.substring("data", 1, keys).alias("keys"), F.substring("data", keys + 1, BITS // 8).alias("data")), "classes")
+    stars = _stars(classes, t)
     stars = stash(_bounded(stars, classes, t), "stars")
     links = stash(_verified(stars, _items(docs, classes, stars, k), t), "links")
     labels = components(links)
-    rest = stash(_tiles(groups, labels, classes, t).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = stash(_verified(rest, _items(docs, classes, rest, k), t), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets), "groups")
+    tried = stars
+    for best in (True,) * ROUNDS + (False,):
+        rest = stash(_tiles(groups, labels, classes, t, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        more = stash(_verified(rest, _items(docs, classes, rest, k), t), "more")
+        tried = tried.unionByName(rest)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     least_doc = classes.join(labels, "cls").groupBy("comp").agg(F.min("doc_id").alias("component"))
     by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("component", "doc_id").alias("component"))
     no = F.lit(NO_ID)
