@@ -34,10 +34,8 @@ from .common import SPACES, WordHasher, gram_hashes, map_arrow, mix, partitions,
 
 #: Documents looked at for frequent shingles, and in how many of them a shingle is frequent.
 SAMPLE_DOCS, SAMPLE_FREQUENT = 4000, 4
-#: Members of a tile, bits of a bitmap.
-TILE, BITS = 1024, 1024
-#: Bits of the bitmap that candidates are held against before their arrays travel.
-WIDE = 16384
+#: Members of a tile, least and most bits of a bitmap.
+TILE, BITS, MOST_BITS = 1024, 1024, 1 << 14
 #: Rows (of two numbers) that may be sent to every executor.
 SMALL = 200_000
 #: Residues of hashes whose minima make the keys of a class.
@@ -71,15 +69,25 @@ def _class_of(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
-def bitmap(s: np.ndarray, size: int = BITS) -> bytes:
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed bitmap of at least twice as many bits as the set has items, a power of two between the limits."""
+    size = min(MOST_BITS, max(BITS, 1 << (2 * len(s) - 1).bit_length()))
     bits = np.zeros(size, dtype=np.uint8)
     bits[(s >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """The bitmaps at `size` bytes, which is what the sets' bitmaps of that size would be."""
+    out = np.empty((len(maps), size // 8), dtype=np.uint64)
+    for row, m in zip(out, maps, strict=True):
+        row[:] = np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Keys of two minima each; sets with much in common share some of them."""
-    least = np.zeros(8, dtype=np.uint64)
+    least = np.full(8, s[0])  # stands in where a residue has no hash
     least[(s & np.uint64(7))[::-1].astype(np.int64)] = s[::-1]  # sorted: the first of a residue is set last
     return mix(least[PAIRED[0]] * np.uint64(0x9FB21C651E98DF25) + least[PAIRED[1]] + np.arange(len(PAIRED[0]), dtype=np.uint64)).tobytes()
 
@@ -204,14 +212,13 @@ def _near_enough(a, b, t: Fraction):
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose exact overlap reaches the threshold, by intersecting sorted arrays."""
-    pairs = _bounded(pairs, sets.select("cls", (F.length("items") / 8).cast("long").alias("n"), F.col("wide").alias("data")), t)
     one = sets.select(F.col("cls").alias("a"), F.col("items").alias("xa"))
     two = sets.select(F.col("cls").alias("b"), F.col("items").alias("xb"))
     both = pairs.join(one, "a").join(two, "b")
 
     def run(batches):
         for batch in batches:
-            for cut in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for cut in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 keep = []
                 for x, y in zip(cut.column("xa").to_pylist(), cut.column("xb").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -229,9 +236,11 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("data").alias("mb"))
 
     def run(batches):
-        for x in batches:
-            m = [np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint64).reshape(x.num_rows, -1) for c in ("ma", "mb")] if x.num_rows else [np.zeros((0, 1), np.uint64)] * 2
-            differ = np.bitwise_count(m[0] ^ m[1]).sum(1).astype(np.int64)
+        for x in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):
+            differ = np.zeros(x.num_rows, dtype=np.int64)
+            for i, (m, o) in enumerate(zip(x.column("ma").to_pylist(), x.column("mb").to_pylist(), strict=True)):
+                m, o = folded([m, o], min(len(m), len(o)))
+                differ[i] = int(np.bitwise_count(m ^ o).sum())
             both = np.asarray(x.column("na")) + np.asarray(x.column("nb"))
             most = (both - differ) // 2
             ok = pa.array(most * t.denominator >= (both - most) * t.numerator)
@@ -267,24 +276,30 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
     dealt = rows.withColumn("own", own).select("s", "cls", "n", "comp", "data", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "comp", "data")
 
-    def compare(c, n, comp, m):
-        for a in range(0, len(c), 256):
-            end = int(np.searchsorted(n, int(n[min(a + 255, len(n) - 1)]) * t.denominator // t.numerator, side="right"))
-            if end <= a:
-                continue
-            x, y = slice(a, a + 256), slice(a, end)
-            differ = np.bitwise_count(m[x, None, :] ^ m[None, y, :]).sum(2).astype(np.int64)
-            both = n[x, None] + n[None, y]
-            most = (both - differ) // 2
-            small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-            ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[x, None] != comp[None, y]) & (small * t.denominator >= large * t.numerator)
-            ok = np.triu(ok, 1)
-            if best:
-                i = np.flatnonzero(ok.any(1))
-                j = np.where(ok, most / np.maximum(both - most, 1), -1.0)[i].argmax(1)
-            else:
-                i, j = np.nonzero(ok)
-            yield c[x][i], c[y][j]
+    def compare(c, n, comp, maps):
+        size = np.array([len(m) for m in maps])
+        for bytes_ in np.unique(size).tolist():  # sizes grow with n
+            first, last = np.searchsorted(size, [bytes_, bytes_ + 1]).tolist()
+            m = folded(maps[first : int(np.searchsorted(n, int(n[last - 1]) * t.denominator // t.numerator, side="right"))], bytes_)
+            step = max(1, 32768 // bytes_)
+            for a in range(first, last, step):
+                stop = min(a + step, last)
+                end = int(np.searchsorted(n, int(n[stop - 1]) * t.denominator // t.numerator, side="right"))
+                yield from tile(c, n, comp, slice(a, stop), slice(a, end), m[a - first : stop - first], m[a - first : end - first])
+
+    def tile(c, n, comp, x, y, mx, my):
+        differ = np.bitwise_count(mx[:, None, :] ^ my[None, :, :]).sum(2).astype(np.int64)
+        both = n[x, None] + n[None, y]
+        most = (both - differ) // 2
+        small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+        ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[x, None] != comp[None, y]) & (small * t.denominator >= large * t.numerator)
+        ok = np.triu(ok, 1)
+        if best:
+            i = np.flatnonzero(ok.any(1))
+            j = np.where(ok, most / np.maximum(both - most, 1), -1.0)[i].argmax(1)
+        else:
+            i, j = np.nonzero(ok)
+        yield c[x][i], c[y][j]
 
     def run(batches):
         last, held = None, []
@@ -293,9 +308,8 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
             if not held:
                 return
             c, n, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
-            m = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint64).reshape(len(held), BITS // 64)
             o = np.argsort(n, kind="stable")
-            for a, b in compare(c[o], n[o], comp[o], m[o]):
+            for a, b in compare(c[o], n[o], comp[o], [held[i][3] for i in o.tolist()]):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -319,9 +333,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(texts, hasher, k)
             #: A repeated doc_id may have other texts.
             own = pa.array([_class_of(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own), pa.array([bitmap(s, WIDE) for s in sets], pa.binary()).filter(own)], names=["cls", "items", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], names=["cls", "items"])
 
-    return map_arrow(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text"), run, "cls long, items binary, wide binary").dropDuplicates(["cls"])
+    return map_arrow(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text"), run, "cls long, items binary").dropDuplicates(["cls"])
 
 
 def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> DataFrame:
@@ -334,7 +348,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
     #: A class is represented by its least document.
     classes = rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data"))
     keys = 8 * len(PAIRED[0])
-    classes = stash(classes.select("cls", "doc_id", "n", F.substring("data", 1, keys).alias("keys"), F.substring("data", keys + 1, BITS // 8).alias("data")), "classes")
+    classes = stash(classes.select("cls", "doc_id", "n", F.substring("data", 1, keys).alias("keys"), F.substring("data", keys + 1, MOST_BITS // 8).alias("data")), "classes")
     stars = _stars(classes, t)
     stars = stash(_bounded(stars, classes, t), "stars")
     links = stash(_verified(stars, _items(docs, classes, stars, k), t), "links")
