@@ -267,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
 def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction, best: bool = False) -> DataFrame:
     """Candidate pairs of different components in the groups that hold several, tile by tile.
 
-    With `best`, each class of a tile gives only the pair that its bitmap finds most alike.
+    With `best`, each class gives only the pair that the bitmaps find most alike.
     """
     named = groups.join(comps, "cls", "left").select("s", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     mixed = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
@@ -295,11 +295,13 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
         ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[x, None] != comp[None, y]) & (small * t.denominator >= large * t.numerator)
         ok = np.triu(ok, 1)
         if best:
+            alike = np.where(ok, most / np.maximum(both - most, 1), -1.0)
             i = np.flatnonzero(ok.any(1))
-            j = np.where(ok, most / np.maximum(both - most, 1), -1.0)[i].argmax(1)
+            j = alike[i].argmax(1)
+            yield c[x][i], c[y][j], alike[i, j]
         else:
             i, j = np.nonzero(ok)
-        yield c[x][i], c[y][j]
+            yield c[x][i], c[y][j], np.zeros(len(i))
 
     def run(batches):
         last, held = None, []
@@ -309,9 +311,9 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 return
             c, n, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
             o = np.argsort(n, kind="stable")
-            for a, b in compare(c[o], n[o], comp[o], [held[i][3] for i in o.tolist()]):
+            for a, b, alike in compare(c[o], n[o], comp[o], [held[i][3] for i in o.tolist()]):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], names=["own", "a", "b", "alike"])
 
         for batch in batches:
             for s, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "cls", "n", "comp", "data")), strict=True):
@@ -321,7 +323,10 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 held.append(row)
         yield from flush()
 
-    return map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "a long, b long").distinct()
+    found = map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "own long, a long, b long, alike double")
+    if best:
+        found = found.groupBy("own").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b")
+    return found.select("a", "b").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
