@@ -3,14 +3,17 @@
 Tokens are words and one end; the tree predicts the bytes that spell them (a blank ends a word, a
 line end the text), each from the longest context that the tree retains, at most DEPTH bytes.
 
-* Counting: the (DEPTH + 1)-grams of all training texts are counted in each task and summed by bucket;
-  shorter contexts are their marginals.  Word counts for the base score travel the same way.
-* Retaining: a context stays if its share of all positions is at least MIN_SHARE and its divergence
-  from the longest retained suffix, times its share, is at least MIN_GAIN.  The first bound limits the
-  tree to DEPTH / MIN_SHARE contexts whatever the size of the corpus, so it can be sent to executors.
+* Counting: each chunk of texts names its distinct (DEPTH + 1)-grams with their counts in training texts,
+  in buckets by the three bytes before the predicted one.  Shorter contexts are their marginals.
+* Retaining: a context stays if it was seen at least LEAST times and its gain over the longest retained
+  suffix, its count times the divergence, is at least MIN_GAIN.  Neither bound follows the size of the
+  corpus, so more text retains more contexts.
 * Smoothing: the distribution of a context is mixed with that of its longest retained suffix, weighted by
   the number of different symbols seen after it; the root is mixed with equal shares of all 256 bytes.
-* Scoring: log10 probabilities of all bytes of the text, the end included.
+* Where it is: contexts of up to two bytes (bounded by the alphabet) are sent to executors; longer ones are
+  tables of their bucket, which is where the grams of all chunks meet them.
+* Scoring: log10 probabilities of all bytes of the text, the end included; each chunk gets those of its
+  distinct grams back from the buckets.
 
 The base score needs the count of every word.  The most frequent words (at most HEAD of them) are sent
 to executors; the others meet their counts in buckets by hash, and the sums go back to their documents.
@@ -26,15 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, WordHasher, map_arrow, mix, partitions, stash, text_chunks
 
-DEPTH = 5
-MIN_SHARE = 1e-5
-#: Gain in nats a position.
-MIN_GAIN = 2e-7
+#: A gram of DEPTH bytes and the next one fills 64 bits.
+DEPTH = 7
+#: Contexts of more bytes are in buckets.
+UPPER = 2
+LEAST = 2
+#: In nats.
+MIN_GAIN = 0.5
+#: Bytes of text that name their grams together.
+GRAM_BYTES = 6 << 20
 HEAD = 1 << 17
 #: Name of the end token among the word hashes.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -49,11 +58,16 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [_PAD + b"".join([w + b" " for w in t.lower().split()]) + b"\n" for t in texts]
     s = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-    scored = np.ones(len(s), dtype=bool)
+    return s, _scored(ends), ends
+
+
+def _scored(ends: np.ndarray) -> np.ndarray:
+    """All bytes but the DEPTH before each text."""
+    scored = np.ones(ends[-1] if len(ends) else 0, dtype=bool)
     starts = np.concatenate(([0], ends[:-1]))
     for i in range(DEPTH):
         scored[starts + i] = False
-    return s, scored, ends
+    return scored
 
 
 def _grams(s: np.ndarray) -> np.ndarray:
@@ -84,6 +98,9 @@ class _Counts:
         k, n = np.unique(names, return_counts=True)
         p = np.empty(len(k), dtype=_PAIR)
         p["k"], p["n"] = k, n
+        self.add_pairs(p)
+
+    def add_pairs(self, p: np.ndarray) -> None:
         self.held.append(p)
         self.size += len(p)
         if self.size > 2 * len(self.held[0]) + 3_000_000:
@@ -103,24 +120,16 @@ def _by_bucket(pairs: np.ndarray, bucket: np.ndarray):
     return bucket[at].astype(np.int32) if len(at) else np.zeros(0, np.int32), [x.tobytes() for x in np.split(pairs, at[1:])] if len(at) else []
 
 
-def _rows(kind: str, bucket, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.string()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
-
-
 def _count(train: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
-        words, grams, hasher = _Counts(), _Counts(), WordHasher(SPACES, lower=True)
+        words, hasher = _Counts(), WordHasher(SPACES, lower=True)
         for _, texts in text_chunks(batches):
             words.add(np.concatenate((hasher(texts)[0], np.full(len(texts), END))))
-            s, scored, _ = _stream(texts)
-            grams.add(_grams(s)[scored])
-        for kind, counts in (("word", words), ("gram", grams)):
-            p = counts.sum()
-            #: Grams meet by the three bytes before the predicted one, so contexts from three bytes on are whole in a bucket.
-            name = p["k"] if kind == "word" else mix((p["k"] >> np.uint64(8)) & np.uint64(0xFFFFFF))
-            yield _rows(kind, *_by_bucket(p, (name % np.uint64(buckets)).astype(np.int64)))
+        p = words.sum()
+        bucket, data = _by_bucket(p, (p["k"] % np.uint64(buckets)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
-    return map_arrow(train.select("text"), run, "kind string, bucket int, data binary")
+    return map_arrow(train.select("text"), run, "bucket int, data binary")
 
 
 def _gather(batches):
@@ -143,139 +152,237 @@ def _words(counted: DataFrame, buckets: int) -> DataFrame:
             cols = ([b], [p.tobytes()], [len(p)], [int(p["n"].sum())], [at_least])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["bucket", "data", "v", "n", "at_least"])
 
-    return map_arrow(counted.where("kind = 'word'").select("bucket", "data").repartition(buckets, "bucket"), run, "bucket int, data binary, v long, n long, at_least array<long>")
+    return map_arrow(counted.repartition(buckets, "bucket"), run, "bucket int, data binary, v long, n long, at_least array<long>")
 
 
-def _contexts(counted: DataFrame, buckets: int, least: float) -> DataFrame:
-    """(order, data): pairs of (context and next byte, count) of the contexts of each order that are frequent enough.
+def _low(g: np.ndarray, k: int) -> np.ndarray:
+    """The grams' last k bytes."""
+    return g & np.uint64((1 << 8 * k) - 1)
 
-    Orders below 3 come in parts, to be summed; they have at most 2**24 names.
-    """
 
-    def run(batches):
-        for _, p in _gather(batches):
-            for k in range(DEPTH + 1):
-                q = p if k == DEPTH else _sum_pairs(p["k"] & np.uint64((1 << 8 * (k + 1)) - 1), p["n"])
-                if k >= 3 and len(q):
-                    c = q["k"] >> np.uint64(8)  # sorted by the oldest byte first, so a context's names stand together
-                    at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                    total = np.add.reduceat(q["n"], at)
-                    q = q[np.repeat(total >= least, np.diff(np.append(at, len(q))))]
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([q.tobytes()], pa.binary())], names=["order", "data"])
+def _bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
+    """Grams meet by the three bytes before the predicted one, so contexts from three bytes on are whole in a bucket."""
+    return (mix((g >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each name."""
+    if not len(sorted_names):
+        return np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_names, names), len(sorted_names) - 1)
+    return at, sorted_names[at] == names
+
+
+def _squeeze(*parts: np.ndarray) -> bytes:
+    """Arrays of one length, compressed: all first bytes of the items, then all second bytes, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in parts))
+
+
+def _expand(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(sum(sizes), -1)
+    return [np.ascontiguousarray(y.T).view(k).ravel() for y, k in zip(np.split(x, np.cumsum(sizes)[:-1]), kinds, strict=True)]
 
-    return map_arrow(counted.where("kind = 'gram'").select("bucket", "data").repartition(buckets, "bucket"), run, "order int, data binary")
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    names = np.sort(names)
+    return names[np.concatenate(([True], names[1:] != names[:-1]))] if len(names) else names
 
 
 @dataclass
-class Tree:
-    """log10 probabilities: row i of `logs` belongs to context i; contexts of order k are the sorted `names[k]` at rows `rows[k]`."""
+class Level:
+    """The contexts of one length.
+
+    names: contexts with a next byte that was seen after them; best: its probability after the longest
+    retained suffix, the context itself included; contexts, logs: the retained ones and the logarithm of the share
+    that bytes never seen after them take from the suffix.
+    """
 
-    names: list[np.ndarray]
-    rows: list[np.ndarray]
+    names: np.ndarray
+    best: np.ndarray
+    contexts: np.ndarray
     logs: np.ndarray
-    column: np.ndarray
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        s, scored, ends = _stream(texts)
-        grams, back = np.unique(_grams(s), return_inverse=True)
-        row = np.zeros(len(grams), dtype=np.int64)
-        for k in range(1, DEPTH + 1):
-            if len(self.names[k]):
-                c = (grams >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)
-                at = np.minimum(np.searchsorted(self.names[k], c), len(self.names[k]) - 1)
-                row = np.where(self.names[k][at] == c, self.rows[k][at], row)
-        logs = self.logs[row, self.column[(grams & np.uint64(255)).astype(np.int64)]].astype(np.float64)
-        sums = np.concatenate(([0.0], np.cumsum(np.where(scored, logs[back], 0.0))))
-        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
-
-
-def build(contexts: DataFrame, total: int) -> Tree:
-    """Retain, smooth and lay out the tree on the driver; its input is bounded by MIN_SHARE."""
-    held: dict[int, list[np.ndarray]] = {k: [] for k in range(DEPTH + 1)}
-    for r in contexts.toLocalIterator():
-        held[r["order"]].append(np.frombuffer(r["data"], dtype=_PAIR))
-    pairs = []
-    for k in range(DEPTH + 1):
-        x = np.concatenate([np.zeros(0, dtype=_PAIR), *held.pop(k)])
-        pairs.append(_sum_pairs(x["k"], x["n"]))
-    #: Bytes that were seen have columns; all others share the last one.
-    seen = (pairs[0]["k"] & np.uint64(255)).astype(np.int64)
-    column = np.full(256, len(seen), dtype=np.int64)
-    column[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    equal = np.full(width, 1 / 256)
-    counts = np.zeros(width)
-    counts[column[seen]] = pairs[0]["n"]
-    d = max(1, len(seen))
-    probs = [((counts + d * equal) / (counts.sum() + d))[None]]
-    names, rows, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 1
+
+
+def grow(pairs: np.ndarray, k: int, below: Level) -> Level:
+    """Retain and smooth the contexts of k bytes; `pairs` are sorted by name, `below` has those of k - 1 bytes."""
+    c = pairs["k"] >> np.uint64(8)  # sorted by the oldest byte first, so a context's names stand together
+    at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, dtype=np.int64)
+    if not len(c):
+        return Level(pairs["k"], np.zeros(0), c, np.zeros(0))
+    kinds = np.diff(np.append(at, len(c)))
+    count = pairs["n"].astype(np.float64)
+    n = np.add.reduceat(count, at)
+    #: What follows a context follows its suffixes too.
+    q = below.best[np.searchsorted(below.names, _low(pairs["k"], k))]
+    p = (count + np.repeat(kinds, kinds) * q) / np.repeat(n + kinds, kinds)
+    share = kinds / (n + kinds)
+    #: Bytes that were never seen after the context have `share` of their probability after the suffix.
+    unseen = np.maximum(0, 1 - np.add.reduceat(q, at))
+    gain = n * (np.add.reduceat(p * np.log(p / q), at) + unseen * share * np.log(share))
+    keep = (n >= LEAST) & (gain >= MIN_GAIN)
+    return Level(pairs["k"], np.where(np.repeat(keep, kinds), p, q), c[at][keep], np.log(share[keep]))
+
+
+@dataclass
+class Upper:
+    """The root and the contexts of up to UPPER bytes."""
+
+    root: np.ndarray
+    levels: list[Level]
+
+
+def upper(pairs: np.ndarray) -> Upper:
+    """From the counts of all contexts of UPPER bytes and the next byte."""
+    first = _sum_pairs(_low(pairs["k"], 1), pairs["n"])
+    counts = np.zeros(256)
+    counts[first["k"].astype(np.int64)] = first["n"]
+    d = max(1, len(first))
+    root = (counts + d / 256) / (counts.sum() + d)
+    levels = [Level(first["k"], root[first["k"].astype(np.int64)], np.zeros(0, dtype=np.uint64), np.zeros(0))]
+    for k in range(1, UPPER + 1):
+        levels.append(grow(_sum_pairs(_low(pairs["k"], k + 1), pairs["n"]), k, levels[-1]))
+    return Upper(root, levels)
+
+
+def predict(top: Upper, pairs: np.ndarray) -> tuple[np.ndarray, list[Level]]:
+    """log10 probability of each gram of a bucket, and its levels; grams of held-out texts alone have a count of 0."""
+    seen, levels = pairs[pairs["n"] > 0], list(top.levels)
+    for k in range(UPPER + 1, DEPTH + 1):
+        levels.append(grow(seen if k == DEPTH else _sum_pairs(_low(seen["k"], k + 1), seen["n"]), k, levels[-1]))
+    out = np.empty(len(pairs))
+    out[pairs["n"] > 0] = np.log(levels[-1].best)
+    g = pairs["k"][pairs["n"] == 0]
+    log = np.log(top.root)[_low(g, 1).astype(np.int64)]
     for k in range(1, DEPTH + 1):
-        c = pairs[k]["k"] >> np.uint64(8)
-        at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.append(at, len(c)))
-        ctx = c[at]
-        n = np.add.reduceat(pairs[k]["n"], at).astype(np.float64) if len(at) else np.zeros(0)
-        every = np.concatenate(probs)
-        keep_ctx, keep_p = [], []
-        for a in range(0, len(at), 20_000):
-            cut = slice(a, a + 20_000)
-            lo, hi = int(at[a]), int(at[a + 20_000]) if a + 20_000 < len(at) else len(c)
-            m = np.zeros((len(ctx[cut]), width))
-            m[np.repeat(np.arange(len(m)), size[cut]), column[(pairs[k]["k"][lo:hi] & np.uint64(255)).astype(np.int64)]] = pairs[k]["n"][lo:hi]
-            parent = np.zeros(len(m), dtype=np.int64)
-            for j in range(1, k):
-                if len(names[j]):
-                    s = ctx[cut] & np.uint64((1 << 8 * j) - 1)
-                    i = np.minimum(np.searchsorted(names[j], s), len(names[j]) - 1)
-                    parent = np.where(names[j][i] == s, rows[j][i], parent)
-            kinds = (m > 0).sum(1, keepdims=True)
-            p = (m + kinds * every[parent]) / (n[cut][:, None] + kinds)
-            share = n[cut] / max(1, total)
-            gain = share * (p * np.log(p / every[parent])).sum(1)
-            ok = (share >= MIN_SHARE) & (gain >= MIN_GAIN)
-            keep_ctx.append(ctx[cut][ok])
-            keep_p.append(p[ok].astype(np.float32))
-        names.append(np.concatenate([np.zeros(0, np.uint64), *keep_ctx]))
-        rows.append(base + np.arange(len(names[k])))
-        base += len(names[k])
-        probs += [x.astype(np.float64) for x in keep_p]
-    return Tree(names, rows, np.log10(np.concatenate(probs)).astype(np.float32), column)
-
-
-def _scan(docs: DataFrame, tree: Tree, head: np.ndarray, buckets: int) -> DataFrame:
-    """Per chunk of documents: what is known at once, and the rarer words by bucket."""
+        at, known = _find(levels[k].names, _low(g, k + 1))
+        in_tree, retained = _find(levels[k].contexts, _low(g, k + 1) >> np.uint64(8))
+        log[retained] += levels[k].logs[in_tree[retained]]
+        log[known] = np.log(levels[k].best[at[known]])
+    out[pairs["n"] == 0] = log
+    return out / np.log(10), levels[UPPER + 1 :]
+
+
+def _scan(docs: DataFrame, learn: Column, head: np.ndarray, buckets: int) -> DataFrame:
+    """Per chunk of documents: itself, and the rarer words by bucket; per task: the short contexts."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        hasher, part = WordHasher(SPACES, lower=True), TaskContext.get().partitionId()
-        for no, (batch, texts) in enumerate(text_chunks(batches)):
+        hasher, part, short = WordHasher(SPACES, lower=True), TaskContext.get().partitionId(), _Counts()
+
+        def rows(kind, no, bucket, data, *chunk):
+            m = len(data)
+            cols = ([kind] * m, [part] * m, [no] * m, bucket, *(chunk or [[None] * m] * 5), data)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
+
+        for no, (batch, texts) in enumerate(text_chunks(batches, GRAM_BYTES)):
             h, first, *_ = hasher(texts)
             doc = np.repeat(np.arange(len(texts)), np.diff(first))
             h, doc = np.concatenate((h, np.full(len(texts), END))), np.concatenate((doc, np.arange(len(texts))))
-            at = np.minimum(np.searchsorted(head["k"], h), max(0, len(head) - 1))
-            known = head["k"][at] == h if len(head) else np.zeros(len(h), dtype=bool)
+            at, known = _find(head["k"], h)
             sums = np.zeros(len(texts), dtype=_SUMS)
             sums["known"] = np.bincount(doc[known], minlength=len(texts))
             if len(head):
                 sums["log"] = np.bincount(doc[known], weights=np.log10(head["n"][at[known]] + 1.0), minlength=len(texts))
             n = np.diff(first) + 1
-            cols = ([part], [no], [-1], [batch.column("doc_id").to_pylist()], [n.tolist()], [tree.score(texts).tolist()], [sums.tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
             rare = np.zeros(int((~known).sum()), dtype=_TAIL)
             rare["k"], rare["d"], rare["n"] = h[~known], doc[~known], 1
+            del h, doc, at, known
             b, data = _by_bucket(rare, (rare["k"] % np.uint64(buckets)).astype(np.int64))
-            m = len(data)
-            cols = ([part] * m, [no] * m, b, [None] * m, [None] * m, [None] * m, data)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
+            yield rows("word", no, b, data)
+            s, scored, ends = _stream(texts)
+            sizes = np.diff(ends, prepend=0)
+            learn = np.array(batch.column("learn").to_pylist(), dtype=bool)
+            yield rows("chunk", no, [-2], [sums.tobytes()], [batch.column("doc_id").to_pylist()], [n.tolist()], [sizes.tolist()], [learn.tolist()], [_squeeze(s)])
+            g = _grams(s)[scored & np.repeat(learn, sizes)]
+            mine, n = np.unique(_low(g, UPPER + 1), return_counts=True)
+            del s, scored, g
+            less = np.empty(len(mine), dtype=_PAIR)
+            less["k"], less["n"] = mine, n
+            short.add_pairs(less)
+        p = short.sum()
+        b, data = _by_bucket(p, (mix(p["k"]) % np.uint64(SHORT)).astype(np.int64))
+        yield rows("short", -1, b, data)
+
+    learned = F.coalesce(learn, F.lit(False)).alias("learn")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learned), run, _SCAN)
+
+
+#: Buckets of the counts of short contexts.
+SHORT = 16
+_SCAN_NAMES = ["kind", "part", "no", "bucket", "ids", "tokens", "sizes", "learn", "stream", "data"]
+_SCAN_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+_SCAN = "kind string, part int, no int, bucket int, ids array<long>, tokens array<long>, sizes array<long>, learn array<boolean>, stream binary, data binary"
+
+
+def _by_gram(scanned: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket: the distinct grams with their counts in training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part, no, sizes, learn, stream in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "sizes", "learn", "stream")), strict=True):
+                scored = _scored(np.cumsum(np.array(sizes, dtype=np.int64)))
+                own = np.repeat(np.array(learn, dtype=bool), sizes)[scored]
+                #: Sorted by the predicted byte first, then the newest, grams compress best; their buckets keep the order.
+                g = _grams(_expand(stream, np.uint8)[0])[scored].byteswap()
+                names, (mine, n) = _distinct(g), np.unique(g[own], return_counts=True)
+                del g, own, scored
+                counts = np.zeros(len(names), dtype=np.uint32)
+                counts[np.searchsorted(names, mine)] = n
+                names = names.byteswap()
+                b = _bucket_of(names, buckets)
+                o = np.argsort(b, kind="stable")
+                cut = np.concatenate((np.flatnonzero(np.diff(b[o], prepend=-1)), [len(o)]))
+                data = [_squeeze(names[o[x:y]], counts[o[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array([no] * len(data), pa.int32()), pa.array(b[o[cut[:-1]]], pa.int32()), pa.array(data, pa.binary())], names=["part", "no", "bucket", "data"])
+
+    chunks = scanned.where("kind = 'chunk'").select("part", "no", "sizes", "learn", "stream")
+    return map_arrow(chunks, run, "part int, no int, bucket int, data binary")
+
+
+def _short(scanned: DataFrame) -> np.ndarray:
+    """Counts of all contexts of UPPER bytes with the next byte, at most 256**(UPPER + 1)."""
+
+    def run(batches):
+        for _, p in _gather(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary())], names=["data"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SCAN)
+    got = map_arrow(scanned.where("kind = 'short'").select("bucket", "data").repartition(SHORT, "bucket"), run, "data binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["data"] for r in got), dtype=_PAIR), order="k")
 
 
-_SCAN_NAMES = ["part", "no", "bucket", "ids", "tokens", "scores", "data"]
-_SCAN_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary())
-_SCAN = "part int, no int, bucket int, ids array<long>, tokens array<long>, scores array<double>, data binary"
+def _answer(scanned: DataFrame, top: Upper, buckets: int) -> DataFrame:
+    """log10 probabilities of the grams of each chunk and bucket, in their order; `contexts` counts what a bucket retains, by length."""
+
+    def run(batches):
+        def flush(bucket, held):
+            if not held:
+                return
+            raw = [_expand(d, np.uint64, np.uint32) for _, _, d in held]
+            size = [len(x) for x, _ in raw]
+            g, n = (np.concatenate(x) for x in zip(*raw, strict=True))
+            raw.clear()
+            names, back = np.unique(g, return_inverse=True)
+            pairs = np.empty(len(names), dtype=_PAIR)
+            pairs["k"], pairs["n"] = names, np.bincount(back, weights=n, minlength=len(names)).astype(np.uint64)
+            log, levels = predict(top, pairs)
+            found = log.astype(np.float32)[back]
+            data = [_squeeze(x) for x in np.split(found, np.cumsum(size)[:-1])]
+            retained = [[len(x.contexts) for x in levels]] + [None] * (len(held) - 1)
+            cols = ([h[0] for h in held], [h[1] for h in held], [bucket] * len(held), data, retained)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "no", "bucket", "data", "contexts"])
+
+        last, held = None, []
+        for batch in batches:
+            for part, no, b, data in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "bucket", "data")), strict=True):
+                if b != last:
+                    yield from flush(last, held)
+                    last, held = b, []
+                held.append((part, no, data))
+        yield from flush(last, held)
+
+    return map_arrow(_by_gram(scanned, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "part int, no int, bucket int, data binary, contexts array<long>")
 
 
 def _look_up(rare: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
@@ -304,15 +411,11 @@ def _look_up(rare: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "no"), run, "part int, no int, data binary")
 
 
-def score(docs: DataFrame, learn: Column) -> DataFrame:
-    """Score all documents (doc_id, text), learning from those of which `learn` holds.
-
-    Rows: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-    """
+def _learn(docs: DataFrame, learn: Column):
+    """(words, their totals, scanned documents, answers): what `score` puts together and `contexts` counts."""
     spark = docs.sparkSession
     buckets = max(32, partitions(spark))
-    counted = stash(_count(docs.where(learn), buckets), "counts")
-    words = stash(_words(counted, buckets), "words")
+    words = stash(_words(_count(docs.where(learn), buckets), buckets), "words")
     total = words.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.coalesce(F.sum(F.col("at_least")[i]), F.lit(0)).alias(f"a{i}") for i in range(48))).first()
     enough = next((1 << i for i in range(48) if total[f"a{i}"] <= HEAD), 1 << 48)
 
@@ -324,42 +427,63 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     got = map_arrow(words.select("data"), frequent, "data binary").collect()
     head = np.sort(np.frombuffer(b"".join(r["data"] for r in got), dtype=_PAIR), order="k")
+    scanned = stash(_scan(docs, learn, head, buckets), "scan")
+    top = upper(_short(scanned))
+    return buckets, words, total, scanned, top, _answer(scanned, top, buckets)
 
-    def symbols(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(d, dtype=_PAIR)["n"].sum()) for d in batch.column("data").to_pylist()], pa.int64())], names=["n"])
-
-    positions = map_arrow(counted.where("kind = 'gram'").select("data"), symbols, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = build(_contexts(counted, buckets, MIN_SHARE * positions), positions)
-    scanned = stash(_scan(docs, tree, head, buckets), "scan")
-    rare = _look_up(scanned.where("bucket >= 0").select("part", "no", "bucket", "data"), words, buckets)
-    chunks = scanned.where("bucket < 0").select("part", "no", "ids", "tokens", "scores", "data")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("tokens", "array<long>"), ("scores", "array<double>"))]
-    both = chunks.unionByName(rare.select("part", "no", *none, "data"))
+
+def contexts(docs: DataFrame, learn: Column) -> list[int]:
+    """How many contexts the tree retains, by length in bytes from 1 to DEPTH."""
+    *_, top, answers = _learn(docs, learn)
+    row = answers.agg(*(F.coalesce(F.sum(F.col("contexts")[i]), F.lit(0)).alias(f"c{i}") for i in range(DEPTH - UPPER))).first()
+    return [len(x.contexts) for x in top.levels[1:]] + list(row)
+
+
+def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """Score all documents (doc_id, text), learning from those of which `learn` holds.
+
+    Rows: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    """
+    buckets, words, total, scanned, _, answers = _learn(docs, learn)
+    rare = _look_up(scanned.where("kind = 'word'").select("part", "no", "bucket", "data"), words, buckets)
+    chunks = scanned.where("kind = 'chunk'").select("part", "no", "bucket", "ids", "tokens", "sizes", "stream", "data")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("tokens", "array<long>"), ("sizes", "array<long>"), ("stream", "binary"))]
+    both = chunks.unionByName(rare.select("part", "no", F.lit(-1).alias("bucket"), *none, "data")).unionByName(answers.select("part", "no", "bucket", *none, "data"))
     floor = float(np.log10(total["n"] + total["v"] + 1))
 
     def finish(batches):
-        last, own, sums = None, None, None
+        last, own, sums, logs = None, None, None, []
 
         def flush():
             if own is not None:
-                ids, tokens, scores = own
+                ids, tokens, sizes, stream = own
                 tokens = np.array(tokens, dtype=np.int64)
-                cols = (pa.array(ids, pa.int64()), pa.array(tokens), pa.array(sums["known"].copy()), pa.array(sums["log"] - tokens * floor), pa.array(scores, pa.float64()))
+                s, ends = _expand(stream, np.uint8)[0], np.cumsum(np.array(sizes, dtype=np.int64))
+                scored = _scored(ends)
+                names, back = np.unique(_grams(s)[scored].byteswap(), return_inverse=True)
+                log = np.empty(len(names), dtype=np.float32)
+                log[np.argsort(_bucket_of(names.byteswap(), buckets), kind="stable")] = np.concatenate([_expand(x, np.float32)[0] for x in logs])
+                along = np.concatenate(([0.0], np.cumsum(log[back], dtype=np.float64)))
+                bounds = np.concatenate(([0], ends - DEPTH * np.arange(1, len(ends) + 1)))
+                scores = along[bounds[1:]] - along[bounds[:-1]]
+                cols = (pa.array(ids, pa.int64()), pa.array(tokens), pa.array(sums["known"].copy()), pa.array(sums["log"] - tokens * floor), pa.array(scores))
                 yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
-            for part, no, ids, tokens, scores, data in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "ids", "tokens", "scores", "data")), strict=True):
+            for part, no, bucket, ids, tokens, sizes, stream, data in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "bucket", "ids", "tokens", "sizes", "stream", "data")), strict=True):
                 if (part, no) != last:
                     yield from flush()
-                    last, own, sums = (part, no), None, None
+                    last, own, sums, logs = (part, no), None, None, []
+                if bucket >= 0:
+                    logs.append(data)
+                    continue
                 x = np.frombuffer(data, dtype=_SUMS)
                 if ids is not None:  # sorted first
-                    own, sums = (ids, tokens, scores), x.copy()
+                    own, sums = (ids, tokens, sizes, stream), x.copy()
                 else:
                     sums["known"][: len(x)] += x["known"]
                     sums["log"][: len(x)] += x["log"]
         yield from flush()
 
-    done = map_arrow(both.repartition("part", "no").sortWithinPartitions("part", "no", F.col("ids").isNull()), finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    done = map_arrow(both.repartition("part", "no").sortWithinPartitions("part", "no", "bucket"), finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "n_tokens", "n_known", F.lit(int(total["n"])).cast("long").alias("train_tokens"), "base_score", "score")
