@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Latin words with one inner apostrophe, Cyrillic words, or digits.
 WORD = r"[A-Za-z]+(?:['’][A-Za-z]+)?|[А-Яа-яЁё]+|\p{Nd}+"
 EMAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
+#: The reference's classes count \x1c-\x1f as blanks; flag U gives its Unicode digits, blanks and word borders.
+PHONE = r"(?iuU)(?:тел(?:ефон)?|phone|mobile|call|контакт|звонить|номер)[\s\x1c-\x1f]*[:#-]?[\s\x1c-\x1f]*\+?\d[\d\s\x1c-\x1f().-]{8,}\d"
+CREDENTIAL = r"(?iuU)\b(?:api[_ -]?key|access[_ -]?token|client[_ -]?secret|password|пароль|секретный[\s\x1c-\x1f]+ключ)[\s\x1c-\x1f]*[:=][\s\x1c-\x1f]*[^\s\x1c-\x1f,;]{8,}"
 URL = r"(?i)https?://|www\."
 
 
@@ -37,6 +40,8 @@ def reason(text: Column, ws: Column, lang: Column, min_chars: int = 300, min_wor
         .when(F.regexp_count(text, F.lit(URL)) > F.greatest(F.lit(5), F.floor(n / 100)), "noise_link_spam_removed")
         .when((F.size(lines) > 20) & (F.size(F.array_distinct(lines)) <= F.greatest(F.lit(1), F.floor(F.size(lines) / 5))), "repetitive_noise_removed")
         .when(text.rlike(EMAIL), "sensitive_email_removed")
+        .when(text.rlike(PHONE), "sensitive_phone_with_contact_context_removed")
+        .when(text.rlike(CREDENTIAL), "sensitive_credential_pattern_removed")
         .when(~lang.isin("ru", "en"), "language_filtered_removed")
     )
 
