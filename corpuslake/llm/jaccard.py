@@ -27,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, WordHasher, gram_hashes, map_arrow, mix, partitions, stash, text_chunks
@@ -136,7 +136,7 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
             size = [len(s) for s in sets]
             none = pa.nulls(len(names), pa.int32())
             if not prefixes:
-                yield pa.RecordBatch.from_arrays([none, batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["bucket", "doc_id", "cls", "n", "data"])
+                yield pa.RecordBatch.from_arrays([none, batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["bucket", "doc_id", "h", "cls", "n", "data"])
             if fresh:
                 token = np.concatenate([p for p, _, _ in fresh])
                 many = [len(p) for p, _, _ in fresh]
@@ -147,9 +147,9 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
                 at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
                 blobs = [x.tobytes() for x in np.split(rec, at[1:])]
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), none, none, none, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "cls", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), none, none, none, none, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "h", "cls", "n", "data"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, cls long, n long, data binary")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, "bucket int, doc_id long, h long, cls long, n long, data binary")
 
 
 def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -345,11 +345,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that its links reach), cls (name of its set)."""
+    no = F.lit(NO_ID)
+    return _joined(docs, threshold, k).select(F.nullif("doc_id", no).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), no).alias("component_id"), "cls")
+
+
+def _joined(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """Per document: doc_id (NO_ID for null), h (hash of the text), cls, n, comp (least class of its component) and component (its least doc_id)."""
     spark, t = docs.sparkSession, Fraction(threshold)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     buckets = partitions(spark)
     frequent = _frequent(docs, k)
-    rows = stash(_scan(docs, k, t, buckets, frequent, False).select("doc_id", "cls", "n", "data"), "jaccard")
+    rows = stash(_scan(docs, k, t, buckets, frequent, False).select("doc_id", "h", "cls", "n", "data"), "jaccard")
     #: A class is represented by its least document.
     classes = rows.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("data").alias("data"))
     keys = 8 * len(PAIRED[0])
@@ -368,9 +374,8 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> D
             links = links.unionByName(more)
             labels = components(links)
     least_doc = classes.join(labels, "cls").groupBy("comp").agg(F.min("doc_id").alias("component"))
-    by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("component", "doc_id").alias("component"))
-    no = F.lit(NO_ID)
-    return rows.join(by_class, "cls", "left").select(F.nullif("doc_id", no).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), no).alias("component_id"), "cls")
+    by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component", "doc_id").alias("component"))
+    return rows.join(by_class, "cls", "left").select("doc_id", "h", "cls", "n", "comp", "component")
 
 
 def _items(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -381,7 +386,14 @@ def _items(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int = 5) -> DataFrame:
-    """The documents of least doc_id in their component, one row of each; all columns stay, whatever their names."""
-    found = join(docs, threshold, k).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return one.where("__nth = 1").drop("__nth").join(found, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component, that of least doc_id (null: before all), class and hash of the text; all columns stay, whatever their names.
+
+    A row is a document by its doc_id and text together, so other texts under a null or repeated id are documents
+    of their own.  Texts without shingles are linked to none and stay.
+    """
+    found = _joined(docs, threshold, k)
+    linked = found.where("cls != 0").groupBy("comp").agg(F.min(F.struct("doc_id", "cls", "h")).alias("s")).select("s.doc_id", "s.h")
+    kept = linked.unionByName(found.where("cls = 0").select("doc_id", "h")).toDF("__doc", "__hash").distinct()
+    #: Repeated rows meet in partial aggregates first.
+    one = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text")).dropDuplicates(["__doc", "__hash"])
+    return one.join(kept, ["__doc", "__hash"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
