@@ -76,18 +76,24 @@ def _segments(h: _Hashed, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     span = size - ANCHOR + 1
     if len(grams) < span:
         return none, none, none, none.astype(np.uint64)
-    low = np.uint64((1 << 24) - 1)
-    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    width = 1
-    while 2 * width <= span:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < span:
-        key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
-    starts = np.arange(len(key))
+    #: The index of a gram takes the low bits of its key, so windows are taken in blocks of fewer than 2**24 grams.
+    low, block = np.uint64((1 << 24) - 1), (1 << 24) - span
+    parts = []
+    for a in range(0, len(grams) - span + 1, block):
+        g = grams[a : a + block + span - 1]
+        key = (g & ~low) | np.arange(len(g), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if width < span:
+            key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
+        parts.append((key & low).astype(np.int64) + a)
+    at = np.concatenate(parts)
+    starts = np.arange(len(at))
     doc = np.searchsorted(h.first, starts, side="right") - 1
     ok = starts + size <= h.first[doc + 1]
-    starts, doc, at = starts[ok], doc[ok], (key[ok] & low).astype(np.int64)
+    starts, doc, at = starts[ok], doc[ok], at[ok]
     if not len(starts):
         return none, none, none, none.astype(np.uint64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
