@@ -152,32 +152,33 @@ class _Matcher:
 
 def matches(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted ids as strings of the items that occur)."""
-    parts = []
-    blocks = _blocks(bench)
-    for items in blocks:
+    #: Each block of items adds to the rows that the blocks before it return, so rows need no key.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.lit(None).cast(t).alias(c) for c, t in _FOUND.items()))
+    for items in _blocks(bench):
 
         def run(batches, items=items):
             m = _Matcher(items, size)
             for batch, texts in text_chunks(batches, 8 << 20):
-                n, hit, found, where = m(texts)
-                spans: list[list] = [[] for _ in texts]
+                n, hit, names, where = m(texts)
+                spans = [x or [] for x in batch.column("spans").to_pylist()]
+                before = [bool(x) for x in spans]
                 for d, p, k in where:
                     spans[d].append({"start": p, "length": k})
-                names = [sorted({m.names[i] for i in f}) for f in found]
+                for d in {d for d, _, _ in where}:
+                    if before[d]:  # hit words of several blocks count once
+                        hit[d] = len(set().union(*(range(x["start"], x["start"] + x["length"]) for x in spans[d])))
+                hit = [h if h or not old else old for h, old in zip(hit.tolist(), batch.column("n_hit").to_pylist(), strict=True)]
+                names = [sorted({m.names[i] for i in f} | set(old or [])) for f, old in zip(names, batch.column("items").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
+                    names=["doc_id", "text", *_FOUND],
                 )
 
-        parts.append(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>"))
-    if len(parts) == 1:
-        return parts[0]
-    #: More than one block: the hit words are counted from the union of the matches of all blocks.
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    words = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-    return every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.size(words).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        found = map_arrow(found, run, found.schema)
+    return found.drop("text")
+
+
+_FOUND = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:long,length:long>>"}
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
