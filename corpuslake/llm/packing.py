@@ -16,6 +16,7 @@ an empty table gives no rows; other columns are left out, whatever their names.
 from __future__ import annotations
 
 import bisect
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, map_arrow, stash
-from .tokens import encoder
+from .common import map_arrow, stash
+from .tokens import encoder, text_batches
 
 PIECES = "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -123,14 +124,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
         from pyspark import TaskContext
 
         encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch, texts in text_batches(batches):
             rows: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.many(texts), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 cut = len(ids) % capacity or capacity
                 for k, a in enumerate((0, *range(cut, len(ids), capacity))):
-                    own = ids[a : cut + k * capacity]
-                    for col, x in zip(rows, (part, int(seen[len(own)]), doc_id, k, a, len(own), crc_ids(own), own.astype("<u4").tobytes() if keep_ids else None), strict=True):
+                    own = ids[a : cut + k * capacity].astype("<u4")
+                    data = own.tobytes()
+                    for col, x in zip(rows, (part, int(seen[len(own)]), doc_id, k, a, len(own), zlib.crc32(data), data if keep_ids else None), strict=True):
                         col.append(x)
                     seen[len(own)] += 1
             yield pa.RecordBatch.from_arrays(

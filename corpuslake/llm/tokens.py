@@ -1,21 +1,27 @@
 """Token ids of whole texts by the tokenizers library, remembering the ids of pieces.
 
 Text is cut only where the tokenizer's own splitting is certain to cut, so the ids
-are those of the whole text; a text in which a special token could stand is encoded as it is.
+are those of the whole text; a text in which a special token or odd white space could stand is encoded as it is.
+The pieces of many texts are looked up at once, new ones are encoded together, and ids are gathered by NumPy.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from .common import CHUNK_BYTES, text_chunks
 
 #: Pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+#: White space besides blank and line end, and NUL, which marks the piece that begins a text.
+_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\x00"
 #: Python takes these for white space, the tokenizers don't.
-_ODD = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_FIRST = "\x00"
 _open: dict[str, "PieceEncoder"] = {}
 
 
@@ -25,6 +31,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers of pieces in order of their first look-up; `new` are those without ids so far."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceEncoder:
     """`spaces_count`: a single blank before a word belongs to the word's piece (byte-level BPE);
     otherwise white space is dropped and every word is a piece."""
@@ -35,90 +53,133 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces_count = spaces_count
-        self.pieces: dict[str, tuple[int, ...]] = {}
         #: Tokens that begin a word with its blank, or end a word.
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if spaces_count else token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.marks: dict[str, list[int]] = {}
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, words: list[str]) -> None:
-        """Learn pieces of letters only, all encoded at once; each has one token with an edge."""
-        ids = np.asarray(self._whole(("" if self.spaces_count else " ").join(words)))
-        at = np.flatnonzero(self.edge[ids])
-        if len(at) != len(words):
-            for w in words:
-                self.pieces[w] = tuple(self._whole(w))
-            return
-        cuts = (at[1:] if self.spaces_count else at[:-1] + 1).tolist()
-        flat = ids.tolist()
-        for w, a, b in zip(words, [0, *cuts], [*cuts, len(flat)], strict=True):
-            self.pieces[w] = tuple(flat[a:b])
-
-    def _learn(self, parts: list[str]) -> None:
-        known, words, joined, odd = self.pieces, {}, {}, {}
-        for piece in dict.fromkeys(parts):
-            if piece in known:
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters only, 500 encoded as one text; each has one token with an edge."""
+        blank, out = (" " if self.spaces_count else ""), []
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for run, ids in zip(runs, self._each([blank + " ".join(r) for r in runs]), strict=True):
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(run):
+                out += self._each([blank + w for w in run])
                 continue
+            cuts = (at[1:] if self.spaces_count else at[:-1] + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def _mark(self, mark: str) -> list[int]:
+        if mark not in self.marks:
+            self.marks[mark] = self._whole(mark)
+        return self.marks[mark]
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        stems: dict[str, None] = {}
+        ended, odd = [], []
+        for piece in new:
             stem = piece.rstrip(".,;:!?")
-            letters = stem[1:] if self.spaces_count else stem
-            if letters.isalpha() and (not self.spaces_count or stem[0] == " "):
-                if stem not in known:
-                    words[stem] = None
-                if len(stem) < len(piece):
-                    joined[piece] = stem
-                    if piece[len(stem) :] not in known:
-                        odd[piece[len(stem) :]] = None
+            if stem.isalpha():  # neither a first piece nor one after a line end
+                stems[stem] = None
+                ended.append((piece, stem))
             else:
-                odd[piece] = None
-        if words:
-            self._words(list(words))
-        for piece in odd:
-            known[piece] = tuple(self._whole(piece))
-        for piece, stem in joined.items():
-            known[piece] = known[stem] + known[piece[len(stem) :]]
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=np.uint32)
-        if "<|" in text or _ODD.search(text):
-            return np.asarray(self._whole(text), dtype=np.uint32)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        parts = self._cut(text) if self.spaces_count else text.split()
-        self._learn(parts)
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, parts)), dtype=np.uint32)
+                odd.append(piece)
+        ids = dict(zip(stems, self._words(list(stems)), strict=True))
+        found = {p: ids[s] if len(p) == len(s) else ids[s] + self._mark(p[len(s) :]) for p, s in ended}
+        if self.spaces_count:
+            texts = [p[1:] if p[:1] == _FIRST else p if p[:1] == "\n" else " " + p for p in odd]
+        else:
+            texts = odd
+        found.update(zip(odd, self._each(texts), strict=True))
+        lists = [found[p] for p in new]
+        many = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        total, first = int(many.sum()), len(self.numbers) - len(new)
+        self.flat = self._room(self.flat, self.used + total)
+        self.start, self.size = self._room(self.start, len(self.numbers)), self._room(self.size, len(self.numbers))
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=total)
+        self.size[first : first + len(new)] = many
+        self.start[first : first + len(new)] = self.used + np.cumsum(many) - many
+        self.used += total
 
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Pieces that begin at a single blank or line end between two other characters."""
-        out: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if "" in words or line[:1].isspace() or line[-1:].isspace() or any(w[:1].isspace() or w[-1:].isspace() for w in words):
-                return PieceEncoder._cut_slowly(text)
-            if n:
-                out.append("\n")
-            out.append(words[0])
-            out.extend([" " + w for w in words[1:]])
-        return out
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)))
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        number, parts = self.numbers.__getitem__, []
+        for text in texts:
+            pieces = self._cut(text) if text else []
+            parts.append(None if pieces is None else np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
+        self._learn()
+        own = [p for p in parts if p is not None]
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *own])
+        size = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.cumsum([0, *map(len, own)])].tolist()
+        cut = iter(zip(bounds[:-1], bounds[1:], strict=True))
+        return [np.asarray(self._whole(t), dtype=np.uint32) if p is None else ids[slice(*next(cut))] for t, p in zip(texts, parts, strict=True)]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces; None where the text has to be encoded whole."""
+        if "<|" in text:
+            return None
+        if not self.spaces_count:
+            return None if any(c in text for c in _SEPARATORS) else text.split()
+        if any(c in text for c in _ODD) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return self._cut_slowly(text)
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = _FIRST + pieces[0]
+        return pieces
 
     @staticmethod
-    def _cut_slowly(text: str) -> list[str]:
+    def _cut_slowly(text: str) -> list[str] | None:
+        """Pieces that begin at a single blank between two characters that aren't white space."""
+        if _FIRST in text or "\n" == text[:1]:
+            return None
         out, start = [], 0
         at = text.find(" ")
         while at != -1:
             if at > start and at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
                 out.append(text[start:at])
-                start = at
+                start = at + 1
             at = text.find(" ", at + 1)
         out.append(text[start:])
+        out[0] = _FIRST + out[0]
         return out
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches of about `limit` bytes of column text, with the texts."""
+    for chunk, texts in text_chunks(batches, limit):
+        yield chunk, [t.decode() for t in texts]
+
+
 def encoder(path: str, spaces_count: bool) -> PieceEncoder:
     if path not in _open:
         _open[path] = PieceEncoder(path, spaces_count)
