@@ -1,24 +1,29 @@
 """Classifiers that compare how well two zstandard dictionaries compress the windows of a text.
 
-Two dictionaries, one built from text of either class, compress every window of a text.  The
-difference of the two lengths, over all windows and in the windows where it is largest, goes
+Two dictionaries, trained by zstandard on text of either class, compress every window of a text.  The
+differences of the two lengths, and nothing else (no length of the text, no length under one dictionary), go
 through a logistic curve fitted on other labelled documents; that is the calibrated score.
 
-`segments`: dictionaries hold what sets a class apart, the words whose share of pieces is
-significantly larger in that class, the most telling last (raw-content dictionaries).
-`trained`: dictionaries come from zstandard's own trainer over pieces of each class.
+`contrast`: each dictionary is trained on the passages of its class around words whose share of documents is
+significantly larger there (z above the bound that the largest of so many chance values would reach); a
+class without such words gives passages from anywhere in its text.  What counts is how far the largest
+differences go and in how many windows they pass the calibrated thresholds.
+`plain`: dictionaries are trained on pieces from all over the text of a class.  What counts is the
+difference over all windows, normalised by the length of the text or by the sum of both lengths.
 
 Labels are learned from a bounded sample of labelled rows: `per_class` documents of either
 class in hash order, two thirds of them for the dictionaries (at most `pieces` pieces each), the rest for
 the calibration.  Everything else reads whole texts.
 
 Cases: null or empty text is one empty window and gets a score like any other; rows with a null
-label or fold are not learned from; with a class missing, every score is the share of class 1
-(0.5 without any labels); repeated rows are scored each; other columns are left out.
+label or fold are not learned from; of several labels of one document the largest counts; with a class
+missing, every score is the share of class 1 (0.5 without any labels); repeated rows are scored each;
+other columns are left out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -34,15 +39,19 @@ from .common import map_arrow, text_chunks
 class Settings:
     window: int
     level: int
-    style: str  # segments or trained
-    dictionary_bytes: int = 65536
+    style: str  # contrast or plain
+    dictionary_bytes: int
+    #: Lengths of the segments and of the substrings that zstandard's trainer counts (0: its own choice).
+    segment: int = 0
+    substring: int = 0
     piece: int = 512
     pieces: int = 12000
     per_class: int = 4000
-    segments: int = 200
-    least_z: float = 4.0
-    #: A window in which one dictionary saves so many bytes more counts as telling.
-    telling: tuple[int, ...] = (2, 4, 8)
+    #: Words before and after a telling word that belong to its passage, and passages to train on, at least.
+    around: int = 1
+    passages: int = 2000
+    #: A window in which one dictionary saves so many bytes more passes a threshold.
+    telling: tuple[int, ...] = (3, 5)
     lower: bool = False
 
 
@@ -56,6 +65,19 @@ class Model:
     weights: np.ndarray | None = None
 
 
+def _windows(text: bytes, size: int) -> list[bytes]:
+    """Parts of at most `size` bytes, cut before the last blank where there is one."""
+    out, a = [], 0
+    while a < len(text):
+        b = a + size
+        if b < len(text):
+            blank = text.rfind(b" ", a + 1, b)
+            b = blank if blank > 0 else b
+        out.append(text[a:b])
+        a = b
+    return out or [b""]
+
+
 class Lengths:
     """Compressed lengths of windows under both dictionaries."""
 
@@ -65,7 +87,8 @@ class Lengths:
         self.settings, self.by = model.settings, []
         for d in model.dictionaries:
             p = z.ZstdCompressionParameters.from_level(model.settings.level, write_content_size=False, write_checksum=False, write_dict_id=False)
-            raw = z.DICT_TYPE_RAWCONTENT if model.settings.style == "segments" else z.DICT_TYPE_AUTO
+            #: Passages are too few for the tables of symbols that the trainer puts before them to be of use.
+            raw = z.DICT_TYPE_RAWCONTENT if model.settings.style == "contrast" else z.DICT_TYPE_AUTO
             held = z.ZstdCompressionDict(d, dict_type=raw)
             held.precompute_compress(compression_params=p)
             self.by.append(z.ZstdCompressor(dict_data=held, compression_params=p).compress)
@@ -74,11 +97,14 @@ class Lengths:
         s = self.settings
         if s.lower:
             text = text.lower()
-        windows = [text[i : i + s.window] for i in range(0, len(text), s.window)] or [b""]
+        windows = _windows(text, s.window)
         one, zero = (np.fromiter((len(f(w)) for w in windows), dtype=np.float64, count=len(windows)) for f in self.by)
-        n, gain = max(len(text), 8), zero - one
+        gain = zero - one
+        if s.style == "plain":
+            rate = gain / np.maximum(zero + one, 1)
+            return np.array([gain.sum() / max(len(text), 8), gain.sum() / max((zero + one).sum(), 1), rate.max(), rate.min(), rate.std()])
         top = np.sort(gain)
-        return np.array([gain.sum() / n, top[-1], top[-2:].sum(), top[0], (gain / s.window).std(), one.sum() / n, zero.sum() / n, np.log(n), *(x for t in s.telling for x in ((gain >= t).sum(), (gain >= t).mean()))])
+        return np.array([gain.sum() / max(len(text), 8), top[-1], top[-2:].sum(), top[0], *((gain >= t).sum() for t in s.telling)])
 
 
 def _inputs(model: Model, x: np.ndarray) -> np.ndarray:
@@ -104,42 +130,62 @@ def _fit(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     model.weights = w
 
 
-def _segment_dictionaries(s: Settings, ones: list[bytes], zeros: list[bytes]) -> tuple[bytes, bytes]:
-    counts = []
-    for group in (ones, zeros):
-        c: Counter = Counter()
-        for x in group:
-            c.update(set((x.lower() if s.lower else x).split()))
-        counts.append(c)
-    (a, b), (na, nb) = counts, (len(ones), len(zeros))
-    z = {}
-    for w in {w for c in counts for w, n in c.items() if n >= 3}:
+def _words(x: bytes) -> list[bytes]:
+    return [w.strip(b".,;:!?") for w in x.split()]
+
+
+def _passages(s: Settings, group: list[bytes], other: list[bytes]) -> list[bytes]:
+    """Telling words of a group with their neighbours; passages from anywhere in its text where no word is telling.
+
+    A word is telling if its share is larger both among the distinct pieces and among the distinct places (a word
+    between two neighbours): the first passes over words that are common everywhere, the second over copies.
+    """
+
+    def places(x: bytes) -> set:
+        w = [b"", *_words(x), b""]
+        return set(zip(w[:-2], w[1:-1], w[2:], strict=True))
+
+    shares = []
+    for pick in (lambda g: [w for x in set(g) for w in set(_words(x))], lambda g: [w for _, w, _ in set().union(*map(places, g))]):
+        own, far = Counter(pick(group)), Counter(pick(other))
+        shares.append((own, far, *((len(set(g)) if not shares else c.total()) + 1 for g, c in ((group, own), (other, far)))))
+    words = shares[0][0].keys()
+    least = np.sqrt(2 * np.log(max(2, len(words | shares[0][1].keys()))))
+
+    def z(w: bytes, a: Counter, b: Counter, na: int, nb: int) -> float:
         p = (a[w] + b[w] + 1) / (na + nb + 2)
-        z[w] = ((a[w] + 0.5) / (na + 1) - (b[w] + 0.5) / (nb + 1)) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-    ranked = sorted(z, key=lambda w: (z[w], w))
-    telling = [[w for w in ranked if z[w] >= s.least_z][-s.segments :], [w for w in reversed(ranked) if z[w] <= -s.least_z][-s.segments :]]
-    return tuple(b"  ".join([b"", *x, b""]).ljust(16) for x in telling)
+        return (a[w] / na - b[w] / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
+
+    telling = {w for w in words if all(x[0][w] >= 3 and z(w, *x) >= least for x in shares)}
+    out, width = {}, 2 * s.around + 1
+    for x in group:
+        held, ws = x.split(), [b"", *_words(x), b""]
+        at = [i for i, w in enumerate(ws[1:-1]) if w in telling] if telling else range(s.around, len(held), 8 * width)
+        out |= {tuple(ws[i : i + 3]): b" " + b" ".join(held[max(0, i - s.around) : i + s.around + 1]) + b" " for i in at}
+    return [out[c] for c in sorted(out, key=lambda c: zlib.crc32(b" ".join(c)))] * -(-s.passages // max(1, len(out)))
 
 
 def _dictionaries(s: Settings, ones: list[bytes], zeros: list[bytes]) -> tuple[bytes, bytes]:
-    if s.style == "segments":
-        return _segment_dictionaries(s, ones, zeros)
     import zstandard as z
 
     out = []
-    for group in (ones, zeros):
+    if s.lower:
+        ones, zeros = ([x.lower() for x in g] for g in (ones, zeros))
+    for group, other in ((ones, zeros), (zeros, ones)):
+        samples = _passages(s, group, other) if s.style == "contrast" else group
+        size = min(s.dictionary_bytes, max(256, sum(map(len, samples)) // 8))
+        own = {"k": s.segment, "d": s.substring} if s.segment else {}
         try:
-            size = min(s.dictionary_bytes, max(256, sum(map(len, group)) // 8))
-            out.append(z.train_dictionary(size, group, level=s.level).as_bytes())
+            out.append(z.train_dictionary(size, samples, level=s.level, **own).as_bytes())
         except z.ZstdError:  # too little text for the trainer: the text itself
-            out.append(b"".join(group)[-s.dictionary_bytes :].ljust(16))
+            out.append(b"".join(samples)[-s.dictionary_bytes :].ljust(16))
     return tuple(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model:
     """Fit on docs (doc_id, text) and the rows of labels (doc_id, y, 0 or 1) that may be learned from."""
     spark, s = docs.sparkSession, settings
-    known = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model(settings)
     if not shares:
@@ -152,14 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model:
     if len(shares) < 2:
         return model
     #: At most 2 * per_class rows.
-    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, y int, use int").dropDuplicates(["doc_id"]))
+    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, y int, use int"))
     text = F.coalesce(F.col("text"), F.lit(""))
     sample = docs.select("doc_id", text.alias("text")).join(chosen, "doc_id")
     parts = sample.where("use = 0").select("doc_id", "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("text"), F.lit(s.piece)), lambda i: F.substr("text", i + 1, F.lit(s.piece)))).alias("at", "piece"))
     groups = []
     for y in (1, 0):
-        got = parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(s.pieces).select("piece").toPandas()["piece"]
-        groups.append([x.encode() for x in got if x])
+        got = parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(s.pieces).select("piece").collect()
+        groups.append([r["piece"].encode() for r in got if r["piece"]])
     if not all(groups):
         return model
     model.dictionaries = _dictionaries(s, *groups)
@@ -169,6 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model:
     return model
 
 
+def _nothing(_text: bytes) -> np.ndarray:
+    return np.zeros(1)
+
+
 def features(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         f = Lengths(model).features
@@ -183,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the score of every text."""
 
     def run(batches):
-        f = Lengths(model).features if model.weights is not None else lambda _: np.zeros(1)
+        f = Lengths(model).features if model.weights is not None else _nothing
         for batch, texts in text_chunks(batches):
             x = np.array([f(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(probability(model, x), pa.float64())], names=["doc_id", "score"])
@@ -195,12 +245,12 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The documents whose score is at least `least`; all columns stay, whatever their names."""
 
     def run(batches):
-        f = Lengths(model).features if model.weights is not None else lambda _: np.zeros(1)
+        f = Lengths(model).features if model.weights is not None else _nothing
         for batch, texts in text_chunks(batches):
             yield batch.filter(pa.array(probability(model, np.array([f(t) for t in texts])) >= least))
 
     return map_arrow(docs, run, docs.schema) if model.weights is not None else docs
 
 
-TOXICITY = Settings(window=256, level=19, style="segments", lower=True)
-QUALITY = Settings(window=512, level=3, style="trained")
+TOXICITY = Settings(window=256, level=19, style="contrast", dictionary_bytes=4096, segment=16, substring=8, around=0, telling=(4, 6), lower=True)
+QUALITY = Settings(window=512, level=3, style="plain", dictionary_bytes=65536)
