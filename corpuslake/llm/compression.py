@@ -135,7 +135,7 @@ def _words(x: bytes) -> list[bytes]:
 
 
 def _passages(s: Settings, group: list[bytes], other: list[bytes]) -> list[bytes]:
-    """Telling words of a group with their neighbours; passages from anywhere in its text where no word is telling.
+    """The telling words of a group with their neighbours.
 
     A word is telling if its share is larger both among the distinct pieces and among the distinct places (a word
     between two neighbours): the first passes over words that are common everywhere, the second over copies.
@@ -157,29 +157,38 @@ def _passages(s: Settings, group: list[bytes], other: list[bytes]) -> list[bytes
         return (a[w] / na - b[w] / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
 
     telling = {w for w in words if all(x[0][w] >= 3 and z(w, *x) >= least for x in shares)}
-    out, width = {}, 2 * s.around + 1
+    out = {}
     for x in group:
         held, ws = x.split(), [b"", *_words(x), b""]
-        at = [i for i, w in enumerate(ws[1:-1]) if w in telling] if telling else range(s.around, len(held), 8 * width)
+        at = [i for i, w in enumerate(ws[1:-1]) if w in telling]
         out |= {tuple(ws[i : i + 3]): b" " + b" ".join(held[max(0, i - s.around) : i + s.around + 1]) + b" " for i in at}
-    return [out[c] for c in sorted(out, key=lambda c: zlib.crc32(b" ".join(c)))] * -(-s.passages // max(1, len(out)))
+    return [out[c] for c in sorted(out, key=lambda c: zlib.crc32(b" ".join(c)))]
 
 
-def _dictionaries(s: Settings, ones: list[bytes], zeros: list[bytes]) -> tuple[bytes, bytes]:
+def _trained(s: Settings, samples: list[bytes]) -> bytes:
     import zstandard as z
 
-    out = []
-    if s.lower:
-        ones, zeros = ([x.lower() for x in g] for g in (ones, zeros))
-    for group, other in ((ones, zeros), (zeros, ones)):
-        samples = _passages(s, group, other) if s.style == "contrast" else group
-        size = min(s.dictionary_bytes, max(256, sum(map(len, samples)) // 8))
-        own = {"k": s.segment, "d": s.substring} if s.segment else {}
-        try:
-            out.append(z.train_dictionary(size, samples, level=s.level, **own).as_bytes())
-        except z.ZstdError:  # too little text for the trainer: the text itself
-            out.append(b"".join(samples)[-s.dictionary_bytes :].ljust(16))
-    return tuple(out)
+    distinct = Counter(samples)
+    if s.style == "contrast" and sum(map(len, distinct)) <= s.dictionary_bytes:  # nothing to choose from: all, the most frequent last
+        return b"".join(sorted(distinct, key=lambda x: (distinct[x], x)))
+    samples = samples * -(-s.passages // len(samples))
+    own = {"k": s.segment, "d": s.substring} if s.segment else {}
+    try:
+        return z.train_dictionary(min(s.dictionary_bytes, max(256, sum(map(len, samples)) // 8)), samples, level=s.level, **own).as_bytes()
+    except z.ZstdError:  # too little text for the trainer: the text itself
+        return b"".join(samples)[-s.dictionary_bytes :]
+
+
+def _dictionaries(s: Settings, ones: list[bytes], zeros: list[bytes]) -> tuple[bytes, bytes]:
+    if s.style == "plain":
+        return _trained(s, ones).ljust(16), _trained(s, zeros).ljust(16)
+    ones, zeros = ([x.lower() for x in g] if s.lower else g for g in (ones, zeros))
+    #: Passages from all over ordinary text come first in both dictionaries, so that they differ by what is telling alone.
+    held = [b" ".join(x.split()[i : i + 8]) for x in zeros for i in range(0, len(x.split()), 64)]
+    base = _trained(s, held) if held else b""
+    telling = [_trained(s, p) if p else b"" for p in (_passages(s, ones, zeros), _passages(s, zeros, ones))]
+    #: Of one length, so that the same text stands at the same distance.
+    return tuple(base + t.ljust(max(16, *map(len, telling))) for t in telling)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model:
