@@ -70,18 +70,21 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap of at least twice as many bits as the set has items, a power of two between the limits."""
+    """Hashed bitmap of at least twice as many bits as the set has items, a power of two between the limits.
+
+    A bit is set if an odd number of items falls on it, so items of both sets cancel out where two bitmaps are
+    compared, and every bit in which they differ still stands for an item that one of the sets lacks.
+    """
     size = min(MOST_BITS, max(BITS, 1 << (2 * len(s) - 1).bit_length()))
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[(s >> np.uint64(20)) % np.uint64(size)] = 1
-    return np.packbits(bits).tobytes()
+    at = ((s >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def folded(maps: list[bytes], size: int) -> np.ndarray:
     """The bitmaps at `size` bytes, which is what the sets' bitmaps of that size would be."""
     out = np.empty((len(maps), size // 8), dtype=np.uint64)
     for row, m in zip(out, maps, strict=True):
-        row[:] = np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+        row[:] = np.bitwise_xor.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, size // 8), axis=0)
     return out
 
 
