@@ -24,6 +24,7 @@ null ids count as one id, less than all others; an empty table gives no rows; ot
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -273,38 +274,52 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
     With `best`, each class gives only the pair that the bitmaps find most alike.
     """
     named = groups.join(comps, "cls", "left").select("s", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    mixed = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-    rows = named.join(mixed.select("s", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "s").join(classes.select("cls", "data"), "cls")
-    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = rows.withColumn("own", own).select("s", "cls", "n", "comp", "data", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "comp", "data")
-
-    def compare(c, n, comp, maps):
+    #: Members of a group's largest component are held against its other members only, so it isn't dealt against itself.
+    sizes = named.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps"))
+    tiles = lambda m: F.ceil(m / TILE).cast("int")
+    mixed = sizes.where("comps > 1").select("s", F.col("most.comp").alias("large"), tiles(F.col("m") - F.col("most.m")).alias("rest"), tiles(F.col("most.m")).alias("chunks"))
+    rows = named.join(mixed, "s").join(classes.select("cls", "data"), "cls").withColumn("h", F.xxhash64("cls"))
+    is_large = F.col("comp") == F.col("large")
+    own = F.when(is_large, -1 - F.pmod("h", "chunks")).otherwise(F.pmod("h", "rest")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    others = F.when(is_large, every(F.col("rest"))).otherwise(F.concat(every(F.col("rest")), F.transform(every(F.col("chunks")), lambda i: -1 - i)))
+    dealt = rows.withColumn("own", own).select("s", "cls", "n", "comp", "data", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "comp", "data")
+
+    def compare(x, y, same: bool, strict: bool = False):
+        """Pairs of a member of x and one of y of at least (`strict`: more than) its size; both are sorted by size."""
+        (c, n, comp, maps), (cy, ny, compy, mapsy) = x, y
         size = np.array([len(m) for m in maps])
         for bytes_ in np.unique(size).tolist():  # sizes grow with n
             first, last = np.searchsorted(size, [bytes_, bytes_ + 1]).tolist()
-            m = folded(maps[first : int(np.searchsorted(n, int(n[last - 1]) * t.denominator // t.numerator, side="right"))], bytes_)
+            low = first if same else int(np.searchsorted(ny, n[first], side="left"))
+            mx, my = folded(maps[first:last], bytes_), folded(mapsy[low : int(np.searchsorted(ny, int(n[last - 1]) * t.denominator // t.numerator, side="right"))], bytes_)
             step = max(1, 32768 // bytes_)
             for a in range(first, last, step):
                 stop = min(a + step, last)
-                end = int(np.searchsorted(n, int(n[stop - 1]) * t.denominator // t.numerator, side="right"))
-                yield from tile(c, n, comp, slice(a, stop), slice(a, end), m[a - first : stop - first], m[a - first : end - first])
+                begin = a if same else int(np.searchsorted(ny, n[a], side="left"))
+                end = int(np.searchsorted(ny, int(n[stop - 1]) * t.denominator // t.numerator, side="right"))
+                if begin < end:
+                    yield from tile((c[a:stop], n[a:stop], comp[a:stop], mx[a - first : stop - first]), (cy[begin:end], ny[begin:end], compy[begin:end], my[begin - low : end - low]), same, strict)
 
-    def tile(c, n, comp, x, y, mx, my):
+    def tile(x, y, same: bool, strict: bool):
+        (c, n, comp, mx), (cy, ny, compy, my) = x, y
         differ = np.bitwise_count(mx[:, None, :] ^ my[None, :, :]).sum(2).astype(np.int64)
-        both = n[x, None] + n[None, y]
+        both = n[:, None] + ny[None, :]
         most = (both - differ) // 2
-        small, large = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-        ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[x, None] != comp[None, y]) & (small * t.denominator >= large * t.numerator)
-        ok = np.triu(ok, 1)
+        ok = (most * t.denominator >= (both - most) * t.numerator) & (comp[:, None] != compy[None, :]) & (n[:, None] * t.denominator >= ny[None, :] * t.numerator)
+        if same:
+            ok = np.triu(ok, 1)
+        else:
+            ok &= ny[None, :] > n[:, None] if strict else ny[None, :] >= n[:, None]
         if best:
             alike = np.where(ok, most / np.maximum(both - most, 1), -1.0)
             i = np.flatnonzero(ok.any(1))
             j = alike[i].argmax(1)
-            yield c[x][i], c[y][j], alike[i, j]
+            yield c[i], cy[j], alike[i, j]
         else:
             i, j = np.nonzero(ok)
-            yield c[x][i], c[y][j], np.zeros(len(i))
+            yield c[i], cy[j], np.zeros(len(i))
 
     def run(batches):
         last, held = None, []
@@ -312,14 +327,23 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
         def flush():
             if not held:
                 return
-            c, n, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
-            o = np.argsort(n, kind="stable")
-            for a, b, alike in compare(c[o], n[o], comp[o], [held[i][3] for i in o.tolist()]):
+            sides = {}
+            for own in {h[0] for h in held}:
+                mine = sorted((h for h in held if h[0] == own), key=lambda h: h[2])
+                sides[own] = tuple(np.array([h[i] for h in mine], dtype=np.int64) for i in (1, 2, 3)) + ([h[4] for h in mine],)
+            _, i, j = last
+            if i == j:
+                found = compare(sides[i], sides[i], True)
+            elif i in sides and j in sides:
+                found = chain(compare(sides[i], sides[j], False), compare(sides[j], sides[i], False, True))
+            else:
+                return
+            for a, b, alike in found:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], names=["own", "a", "b", "alike"])
 
         for batch in batches:
-            for s, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "cls", "n", "comp", "data")), strict=True):
+            for s, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "own", "cls", "n", "comp", "data")), strict=True):
                 if (s, i, j) != last:
                     yield from flush()
                     last, held = (s, i, j), []
