@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stash
 from .tokens import encoder, text_batches
 
+#: Rows that may be sent to every executor.
+SMALL = 200_000
 PIECES = "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -123,6 +125,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     def run(batches):
         from pyspark import TaskContext
 
+        kind = encoder(path, True).id_type
         encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch, texts in text_batches(batches):
             rows: list[list] = [[] for _ in range(8)]
@@ -132,7 +135,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
                 for k, a in enumerate((0, *range(cut, len(ids), capacity))):
                     own = ids[a : cut + k * capacity].astype("<u4")
                     data = own.tobytes()
-                    for col, x in zip(rows, (part, int(seen[len(own)]), doc_id, k, a, len(own), zlib.crc32(data), data if keep_ids else None), strict=True):
+                    for col, x in zip(rows, (part, int(seen[len(own)]), doc_id, k, a, len(own), zlib.crc32(data), own.astype(kind).tobytes() if keep_ids else None), strict=True):
                         col.append(x)
                     seen[len(own)] += 1
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     Documents longer than the capacity are cut, the first piece being the shorter one, so all
     others are whole bins.  Sequence ids of whole bins are negative.  The pieces are written
-    once to the shared folder, so that ranks given to them hold for good.
+    once to the shared folder, so that ranks given to them hold for good.  With `keep_ids`, ids are the tokens of the
+    piece, little-endian, 16 bits each where all ids of the tokenizer fit, else 32.
     """
     spark = docs.sparkSession
     pieces = stash(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
@@ -161,6 +165,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = [(n, [dict(zip(("lo", "hi", "bin", "at"), x, strict=True)) for x in v]) for n, v in places(plan(counts, capacity)).items()]
     where = F.broadcast(spark.createDataFrame(runs, "length long, runs array<struct<lo:long,hi:long,bin:long,at:long>>"))
+    #: A row per partition and length; sent to executors only while that is small, then no piece is shuffled.
+    before = F.broadcast(before) if sizes.count() <= SMALL else before
     ranked = part.join(before, ["part", "length"]).join(where, "length").withColumn("global", F.col("rank") + F.col("before"))
     own = F.filter("runs", lambda r: (r["lo"] <= F.col("global")) & (F.col("global") < r["hi"]))[0]
     placed = ranked.withColumn("run", own).select("*", (F.col("run.bin") + F.col("global") - F.col("run.lo")).alias("sequence_id"), F.col("run.at").alias("offset"))

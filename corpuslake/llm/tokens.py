@@ -58,6 +58,7 @@ class PieceEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if spaces_count else token.endswith("</w>")
+        self.id_type = "<u2" if len(self.edge) <= 1 << 16 else "<u4"
         self._forget()
 
     def _forget(self) -> None:
