@@ -46,11 +46,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as tokens in sequences of at most 1024."""
+    """Documents as tokens in sequences of at most 1024; `ids` holds the tokens of each piece, 16 bits each."""
     from corpuslake.llm.packing import pack
     from corpuslake.llm.tokens import tokenizer_path
 
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2, keep_ids=True)
 
 
 STAGES = [
