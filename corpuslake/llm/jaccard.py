@@ -41,8 +41,8 @@ TILE, BITS, MOST_BITS = 1024, 1024, 1 << 14
 SMALL = 200_000
 #: Residues of hashes whose minima make the keys of a class.
 PAIRED = np.array([(0, 1), (2, 3), (4, 5), (6, 7), (0, 4), (1, 5)]).T
-#: Rounds in which only the most alike are held against each other, before all pairs that are left.
-ROUNDS = 2
+#: Only the most alike are held against each other while that links more than one in so many classes; all pairs that are left come after.
+ALIKE = 20
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -156,7 +156,7 @@ def _scan(docs: DataFrame, k: int, t: Fraction, buckets: int, frequent: np.ndarr
     return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, "bucket int, doc_id long, h long, cls long, n long, data binary")
 
 
-def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
+def _groups(blobs: DataFrame, buckets: int, t: Fraction) -> DataFrame:
     """(s, cls, n) of the sets s of classes that share prefix shingles."""
 
     def run(batches):
@@ -175,11 +175,15 @@ def _groups(blobs: DataFrame, buckets: int) -> DataFrame:
             o = np.lexsort((c, s))
             s, c, n = s[o], c[o], n[o]
             new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))[: len(s)]
-            s, c, n = s[new], c[new], n[new]
-            same = s[1:] == s[:-1]
-            several = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(s) else np.zeros(0, dtype=bool)
-            s, c, n = s[several], c[several], n[several].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, dtype=np.int64)
+            s, c, n = s[new], c[new], n[new].astype(np.int64)
+            #: In order of size, a group falls apart where the next set is too large for all before it.
+            o = np.lexsort((c, n, s))
+            s, c, n = s[o], c[o], n[o]
+            joined = (s[1:] == s[:-1]) & (n[:-1] * t.denominator >= n[1:] * t.numerator)
+            several = np.concatenate(([False], joined)) | np.concatenate((joined, [False])) if len(s) else np.zeros(0, dtype=bool)
+            begins = (np.concatenate(([True], ~joined)) if len(s) else several)[several]
+            s, c, n = s[several], c[several], n[several]
+            first = np.flatnonzero(begins)
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
             #: Groups with the same members give the same candidates: one of them stays.
             name = mix(np.add.reduceat(mix(c.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), first)) if len(s) else s
@@ -391,15 +395,20 @@ def _joined(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
     stars = stash(_bounded(stars, classes, t), "stars")
     links = stash(_verified(stars, _items(docs, classes, stars, k), t), "links")
     labels = components(links)
-    groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets), "groups")
+    groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets, t), "groups")
     tried = stars
-    for best in (True,) * ROUNDS + (False,):
+    best, enough = True, classes.count() // ALIKE
+    while True:
         rest = stash(_tiles(groups, labels, classes, t, best).join(tried, ["a", "b"], "left_anti"), "rest")
         more = stash(_verified(rest, _items(docs, classes, rest, k), t), "more")
         tried = tried.unionByName(rest)
-        if not more.isEmpty():
+        found = more.count()
+        if found:
             links = links.unionByName(more)
             labels = components(links)
+        if not best:
+            break
+        best = found > enough
     least_doc = classes.join(labels, "cls").groupBy("comp").agg(F.min("doc_id").alias("component"))
     by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component", "doc_id").alias("component"))
     return rows.join(by_class, "cls", "left").select("doc_id", "h", "cls", "n", "comp", "component")
