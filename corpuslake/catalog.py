@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -29,22 +29,35 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _WORDS = r"regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)?|[А-Яа-яЁё]+|\p{Nd}+')"
-_PREPARED = rf"""prepared AS (
+_FOREIGN = r"[^\p{L}\p{N}_.+-]"
+#: Normalisation as SQL states it for texts without tags, references and e-book frames, which the tables of documents are.
+_NORMAL = r"""lined AS (
+  SELECT * REPLACE (nfc_normalize(replace(replace(ltrim(text, chr(65279)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text) FROM documents
+), cut AS (
+  SELECT * REPLACE (CASE WHEN length(text) < 4 THEN text ELSE substr(text, 1, CAST(floor(length(text) * 0.75) AS BIGINT) - 1)
+    || regexp_replace(substr(text, CAST(floor(length(text) * 0.75) AS BIGINT)), '(?is)\n\s*(?:all rights reserved|subscribe to our newsletter)\b.*$', '') END AS text) FROM lined
+), normal AS (
+  SELECT * REPLACE (trim(regexp_replace(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS text) FROM cut
+)"""
+_PREPARED = rf"""{_NORMAL}, prepared AS (
   SELECT *, len(regexp_extract_all(lower(text), '[Ѐ-ӿ]')) AS cyr, len(regexp_extract_all(lower(text), '[a-z]')) AS lat,
-         {_WORDS} AS ws, string_split(text, chr(10)) AS lines FROM documents
+         {_WORDS} AS ws, string_split(text, chr(10)) AS lines FROM normal
 ), judged AS (
   SELECT *, CASE WHEN cyr + lat = 0 THEN 'other' WHEN cyr * 4 >= cyr + lat THEN 'ru' WHEN lat * 5 >= (cyr + lat) * 4 THEN 'en' ELSE 'other' END AS language FROM prepared
 ), reasoned AS (
   SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'empty_removed'
     WHEN contains(text, '�') OR len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1f]')) > greatest(2, length(text) // 1000) THEN 'corrupt_removed'
     WHEN length(text) < 300 OR len(ws) < 50 THEN 'too_short_removed'
-    WHEN len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda w: length(w) >= 32 AND len(list_filter(range(length(w) - 31), lambda i: substr(w, i + 1, 32) = repeat(substr(w, i + 1, 1), 32))) > 0)) > 0 THEN 'noise_repeated_character_noise_removed'
+    WHEN len(list_filter(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё0-9]{{32,}}'), lambda w: len(list_filter(range(length(w) - 31), lambda i: substr(w, i + 1, 32) = repeat(substr(w, i + 1, 1), 32))) > 0)) > 0 THEN 'noise_repeated_character_noise_removed'
     WHEN len(ws) >= 100 AND len(list_distinct(list_transform(ws, lambda w: lower(w)))) * 25 < len(ws) THEN 'noise_low_lexical_diversity_removed'
-    WHEN len(regexp_extract_all(text, '(?i)https?://|www\.')) > greatest(5, len(ws) // 100) THEN 'noise_link_spam_removed'
+    WHEN len(regexp_extract_all(text, '(?i)\b(?:https?://|www\.)\S+')) > greatest(5, len(ws) // 100) THEN 'noise_link_spam_removed'
     WHEN len(lines) > 20 AND len(list_distinct(lines)) <= greatest(1, len(lines) // 5) THEN 'repetitive_noise_removed'
-    WHEN regexp_matches(text, '(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}') THEN 'sensitive_email_removed'
+    WHEN regexp_matches(text, '(?:^|{_FOREIGN})[\p{{L}}\p{{N}}_.+-]{{1,64}}@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$)') THEN 'sensitive_email_removed'
+    WHEN regexp_matches(text, '(?i)(?:тел(?:ефон)?|phone|mobile|call|контакт|звонить|номер)\s*[:#-]?\s*\+?\p{{Nd}}[\p{{Nd}}\s().-]{{8,}}\p{{Nd}}') THEN 'sensitive_phone_with_contact_context_removed'
+    WHEN regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:api[_ -]?key|access[_ -]?token|client[_ -]?secret|password|пароль|секретный\s+ключ)\s*[:=]\s*[^\s,;]{{8,}}') THEN 'sensitive_credential_pattern_removed'
     WHEN language NOT IN ('ru', 'en') THEN 'language_filtered_removed' END AS reason FROM judged
 )"""
+_FIRSTS = "k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM reasoned WHERE reason IS NULL)"
 
 
 @query("clean_reasons", f"WITH {_PREPARED} SELECT coalesce(reason, 'kept') AS reason, language, count(*) AS n FROM reasoned GROUP BY ALL")
@@ -52,16 +65,26 @@ def clean_reasons(spark, sf_dir):
     return clean.judge(_read(spark, sf_dir, "documents")).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("clean_kept", f"WITH {_PREPARED}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM reasoned WHERE reason IS NULL) SELECT doc_id, language, len(ws) AS n_words FROM k WHERE nth = 1")
+@query("clean_kept", f"WITH {_PREPARED}, {_FIRSTS} SELECT doc_id, language, len(ws) AS n_words FROM k WHERE nth = 1")
 def clean_kept(spark, sf_dir):
-    kept = clean.judge(_read(spark, sf_dir, "documents")).where("reason IS NULL")
-    return clean.first_of(kept, F.sha2("text", 256), "doc_id").select("doc_id", "language", F.col("n_words").cast("long").alias("n_words"))
+    return clean.kept(_read(spark, sf_dir, "documents")).select("doc_id", "language", F.col("n_words").cast("long").alias("n_words"))
 
 
-@query("corpus_stats", f"WITH {_PREPARED} SELECT language, source, count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(len(ws)) AS BIGINT) AS words FROM reasoned WHERE reason IS NULL GROUP BY ALL")
+@query("corpus_stats", f"WITH {_PREPARED}, {_FIRSTS} SELECT language, count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(len(ws)) AS BIGINT) AS words, round(sum(len(ws)) * 100.0::DOUBLE / greatest(1, sum(sum(len(ws))) OVER ()), 4) AS word_share FROM k WHERE nth = 1 GROUP BY language")
 def corpus_stats(spark, sf_dir):
-    kept = clean.judge(_read(spark, sf_dir, "documents")).where("reason IS NULL")
-    return kept.groupBy("language", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum("n_words").cast("long").alias("words"))
+    return clean.corpus_stats(_read(spark, sf_dir, "documents"))
+
+
+@query("removal_counts", f"WITH {_PREPARED}, {_FIRSTS} SELECT reason, count(*) AS n FROM reasoned WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'exact_duplicates_removed', count(*) FILTER (nth > 1) FROM k")
+def removal_counts(spark, sf_dir):
+    return clean.removals(_read(spark, sf_dir, "documents"))
+
+
+@query("normalize_text", f"WITH {_NORMAL} SELECT doc_id, sha256(text) AS sha FROM normal")
+def normalized(spark, sf_dir):
+    from .functions.unicode import normalize_text
+
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_text(F.col("text")), 256).alias("sha"))
 
 
 @query("exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) - 1 AS removed FROM documents GROUP BY text")
@@ -88,10 +111,11 @@ def every_nth(spark, sf_dir):
     return clean.every_nth(_read(spark, sf_dir, "documents"), "doc_id", 0.1).select("doc_id")
 
 
-@query("language_shares", f"WITH {_PREPARED} SELECT language, count(*) AS n, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () AS share FROM judged GROUP BY language")
+@query("language_shares", f"WITH {_PREPARED.replace('FROM normal', 'FROM documents')} SELECT language, count(*) AS n, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () AS share FROM judged GROUP BY language")
 def language_shares(spark, sf_dir):
     counts = _read(spark, sf_dir, "documents").select(T.language(F.col("text")).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(counts.agg(F.sum("n").alias("every"))).select("language", "n", (F.col("n").cast("double") / F.col("every")).alias("share"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row per language
+    return counts.select("language", "n", (F.col("n").cast("double") / every).alias("share"))
 
 
 @query("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -188,27 +212,18 @@ def lr_schedule(spark, sf_dir):
     return telemetry.lr_scale(spark.range(1000).withColumnRenamed("id", "step"), 100, 1000, 0.1)
 
 
-@query("topk_scores", "WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS token, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings), r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY score DESC) AS r FROM s) SELECT vec_id, CAST(token AS BIGINT) AS token, score FROM r WHERE r <= 5")
-def topk_scores(spark, sf_dir):
-    return telemetry.top_k(telemetry.scores_of(_read(spark, sf_dir, "embeddings")), 5)
-
-
-@query("arithmetic_rows", "SELECT a, b, op, CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE a // b END AS answer FROM range(1, 151) x(a), range(1, 91) y(b), (VALUES ('+'), ('-'), ('*'), ('/')) o(op) WHERE op <> '/' OR a % b = 0")
-def arithmetic_rows(spark, sf_dir):
-    a, b = spark.range(1, 151).withColumnRenamed("id", "a"), spark.range(1, 91).withColumnRenamed("id", "b")
-    rows = a.crossJoin(b).withColumn("op", F.explode(F.array(*map(F.lit, "+-*/")))).where("op <> '/' OR a % b = 0")
-    return rows.withColumn("answer", F.expr("CASE op WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b ELSE a div b END"))
-
-
 @query("html_text")
 def html_text(spark, sf_dir):
-    from .functions.html import strip_html
+    from .functions.unicode import strip_html
 
-    return _read(spark, sf_dir, "pages").select("page_id", strip_html("html").alias("text"))
+    return _read(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
 @query("nfc_normalize", "SELECT doc_id, sha256(nfc_normalize(text)) AS sha FROM documents")
 def nfc_normalize(spark, sf_dir):
-    from .functions.html import nfc
+    from .functions.unicode import nfc
+
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(nfc(F.col("text")), 256).alias("sha"))
+
 
-    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(nfc("text"), 256).alias("sha"))
+from . import catalog_chat, catalog_corpus  # noqa: E402, F401  (they register their queries here)

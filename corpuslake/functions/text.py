@@ -1,4 +1,4 @@
-"""Column builders for text: words, language, rejection rules.  All native expressions."""
+"""Column builders for text: words, language, rejection rules, shingles, hashes.  All native expressions."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Latin words with one inner apostrophe, Cyrillic words, or digits.
 WORD = r"[A-Za-z]+(?:['’][A-Za-z]+)?|[А-Яа-яЁё]+|\p{Nd}+"
-EMAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
-#: The reference's classes count \x1c-\x1f as blanks; flag U gives its Unicode digits, blanks and word borders.
+#: Fixed values of the rejection rules.  Classes with \x1c-\x1f count these as blanks; flag U gives Unicode digits, blanks and word borders.
+EMAIL = r"(?U)(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+\.[A-Za-z]{2,}(?!\w)"
 PHONE = r"(?iuU)(?:тел(?:ефон)?|phone|mobile|call|контакт|звонить|номер)[\s\x1c-\x1f]*[:#-]?[\s\x1c-\x1f]*\+?\d[\d\s\x1c-\x1f().-]{8,}\d"
 CREDENTIAL = r"(?iuU)\b(?:api[_ -]?key|access[_ -]?token|client[_ -]?secret|password|пароль|секретный[\s\x1c-\x1f]+ключ)[\s\x1c-\x1f]*[:=][\s\x1c-\x1f]*[^\s\x1c-\x1f,;]{8,}"
-URL = r"(?i)https?://|www\."
+URL = r"(?i)\b(?:https?://|www\.)\S+"
+REPEAT = r"([A-Za-zА-Яа-яЁё0-9])\1{31,}"
+#: What a text must hold at least for the expensive patterns to be worth a try.
+LONG_NUMBER = r"(?U)\d[\d\s\x1c-\x1f().-]{8,}\d"
 
 
 def words(text: Column) -> Column:
@@ -21,36 +24,103 @@ def words(text: Column) -> Column:
 def language(text: Column) -> Column:
     """ru from a quarter of Cyrillic letters on, en from four fifths of a-z on, else other."""
     low = F.lower(text)
-    cyr, lat = F.regexp_count(low, F.lit("[Ѐ-ӿ]")), F.regexp_count(low, F.lit("[a-z]"))
+    cyr = F.when(text.rlike("[Ѐ-ӿ]"), count_of(text, "".join(map(chr, range(0x400, 0x500))))).otherwise(0)
+    return language_of(cyr, count_of(low, "abcdefghijklmnopqrstuvwxyz"))
+
+
+def count_of(text: Column, signs: str) -> Column:
+    """How many characters of a text are among `signs`."""
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
+def language_of(cyr: Column, lat: Column) -> Column:
+    """The language by the counts of both scripts."""
     both = cyr + lat
     return F.when(both == 0, "other").when(cyr * 4 >= both, "ru").when(lat * 5 >= both * 4, "en").otherwise("other")
 
 
-def reason(text: Column, ws: Column, lang: Column, min_chars: int = 300, min_words: int = 50) -> Column:
-    """Name of the first cleaning rule that rejects a text; null if all pass.  `ws` are its words."""
-    n, lines = F.size(ws), F.split(text, "\n", -1)
-    distinct = F.size(F.array_distinct(F.transform(ws, F.lower)))
+def spoken(text: Column, tie: str = "ru") -> Column:
+    """ru or en, whichever has more letters; `tie` where both have as many."""
+    low = F.lower(text)
+    ru, en = F.regexp_count(low, F.lit("[а-яё]")), F.regexp_count(low, F.lit("[a-z]"))
+    return F.when(ru > en, "ru").when(en > ru, "en").otherwise(tie)
+
+
+def sensitive(text: Column) -> Column:
+    """Kind of personal data or secret in a text, or null; cheap tests come before the patterns."""
+    return (
+        F.when(text.contains("@") & text.rlike(EMAIL), "email")
+        .when(text.rlike(LONG_NUMBER) & text.rlike(PHONE), "phone_with_contact_context")
+        .when(text.rlike("[:=]") & text.rlike(CREDENTIAL), "credential_pattern")
+    )
+
+
+def contact_or_secret(text: Column) -> Column:
+    return F.coalesce(sensitive(text).isNotNull(), F.lit(False))
+
+
+def reason(text: Column, n: Column, lang: Column, min_chars: int = 300, min_words: int = 50, allowed: tuple[str, ...] = ("ru", "en")) -> Column:
+    """Name of the first cleaning rule that rejects a text of n words; null if all pass.
+
+    Words, lines and patterns are only looked at in the branch that needs them, once.
+    """
+    lines = F.split(text, "\n", -1)
     control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0e-\x1f]"))
+    links = F.when(text.contains("://") | F.lower(text).contains("www."), F.regexp_count(text, F.lit(URL))).otherwise(0)
+    distinct = F.size(F.array_distinct(F.transform(words(text), F.lower)))
+    same = F.transform(F.array(lines), lambda x: (F.size(x) > 20) & (F.size(F.array_distinct(x)) <= F.greatest(F.lit(1), F.floor(F.size(x) / 5))))[0]
     return (
         F.when(F.coalesce(text, F.lit("")) == "", "empty_removed")
         .when(text.contains("�") | (control > F.greatest(F.lit(2), F.floor(F.length(text) / 1000))), "corrupt_removed")
         .when((F.length(text) < min_chars) | (n < min_words), "too_short_removed")
-        .when(text.rlike(r"([\p{L}\p{Nd}])\1{31,}"), "noise_repeated_character_noise_removed")
-        .when((n >= 100) & (distinct * 25 < n), "noise_low_lexical_diversity_removed")
-        .when(F.regexp_count(text, F.lit(URL)) > F.greatest(F.lit(5), F.floor(n / 100)), "noise_link_spam_removed")
-        .when((F.size(lines) > 20) & (F.size(F.array_distinct(lines)) <= F.greatest(F.lit(1), F.floor(F.size(lines) / 5))), "repetitive_noise_removed")
-        .when(text.rlike(EMAIL), "sensitive_email_removed")
-        .when(text.rlike(PHONE), "sensitive_phone_with_contact_context_removed")
-        .when(text.rlike(CREDENTIAL), "sensitive_credential_pattern_removed")
-        .when(~lang.isin("ru", "en"), "language_filtered_removed")
+        .when(text.rlike(REPEAT), "noise_repeated_character_noise_removed")
+        .when(F.when(n >= 100, distinct * 25 < n).otherwise(False), "noise_low_lexical_diversity_removed")
+        .when(links > F.greatest(F.lit(5), F.floor(n / 100)), "noise_link_spam_removed")
+        .when(same, "repetitive_noise_removed")
+        .otherwise(F.coalesce(F.concat(F.lit("sensitive_"), sensitive(text), F.lit("_removed")), F.when(~lang.isin(*allowed), "language_filtered_removed")))
     )
 
 
+def tokens(key: Column) -> Column:
+    """Runs of letters, digits and underscores of a folded text."""
+    return F.regexp_extract_all(key, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def ngrams(ws: Column, n: int) -> Column:
     """Runs of n words, joined by blanks; none where there are fewer."""
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def prefixes(ws: Column, least: int = 3, most: int = 10) -> Column:
+    """`n:` and the first n words, for n from `least` to `most` as far as there are words."""
+    n = F.least(F.size(ws), F.lit(most))
+    return F.when(n >= least, F.transform(F.sequence(F.lit(least), n), lambda k: F.concat(k.cast("string"), F.lit(":"), F.array_join(F.slice(ws, F.lit(1), k), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters."""
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def template(folded: Column) -> Column:
+    """A folded text with {N} for numbers that stand alone and single blanks."""
+    numbers = F.regexp_replace(F.btrim(folded, F.lit(" \t\n\r\x0b\x0c")), r"(?U)(?<!\w)[+-]?\d+(?:[.,]\d+)?(?!\w)", "{N}")
+    return F.regexp_replace(numbers, r"(?U)[\s\x1c-\x1f]+", " ")
+
+
 def split_hash(text: Column, seed: int = 42) -> Column:
     """First 64 bits, as hex, of SHA-256 over seed, NUL and text; hex order is unsigned order."""
     return F.substr(F.sha2(F.concat(F.lit(f"{seed}\u0000"), text), 256), F.lit(1), F.lit(16))
+
+
+def git_blob_sha(content: Column) -> Column:
+    """SHA-1 that git gives a file of these bytes."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit("\u0000")), "UTF-8"), content))
+
+
+def wiki_url(base: str, title: Column) -> Column:
+    """Page address: blanks become underscores, all but a few signs is percent-encoded."""
+    out = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))
+    for quoted, plain in (("%28", "("), ("%29", ")"), ("%21", "!"), ("%2C", ","), ("%7E", "~"), ("\\*", "%2A")):
+        out = F.regexp_replace(out, quoted, plain)
+    return F.concat(F.lit(base), out)

@@ -41,6 +41,42 @@ def scores_of(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.col("token").cast("long").alias("token"), F.col("score").cast("double").alias("score"))
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """Scores at or above the k-th; ties stay."""
-    return scores.withColumn("r", F.rank().over(Window.partitionBy("vec_id").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
+def running(log: DataFrame) -> DataFrame:
+    """Tokens trained so far and tokens a second of (run, step, tokens, seconds)."""
+    so_far = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return log.select("run", "step", F.sum("tokens").over(so_far).alias("tokens_trained"), F.try_divide(F.col("tokens").cast("double"), F.col("seconds")).alias("tokens_per_second"))
+
+
+def resume(lines: DataFrame, start: int) -> DataFrame:
+    """Validation history of a log (line, value as JSON text) at a restart: the last readable record of each step up to `start`.
+
+    Records that aren't JSON, or lack a step or a loss, are passed over.
+    """
+    v = F.try_parse_json("value")
+    read = lines.select("line", F.try_variant_get(v, "$.step", "bigint").alias("step"), F.try_variant_get(v, "$.validation_loss", "double").alias("loss"))
+    usable = read.where(F.col("step").isNotNull() & F.col("loss").isNotNull() & (F.col("step") <= start))
+    return usable.groupBy("step").agg(F.max_by("loss", "line").alias("loss"))
+
+
+def stop_step(log: DataFrame, patience: int) -> DataFrame:
+    """The first step of each run at which the loss has risen `patience` times in a row; null where it never does."""
+    return rise_streak(log).groupBy("run").agg(F.min(F.when(F.col("streak") >= patience, F.col("step"))).alias("stop"))
+
+
+def weighted_loss(batches: DataFrame) -> DataFrame:
+    """Loss weighted by tokens of (run, loss, tokens), and its perplexity, the loss counting 20 at most.  Runs with a loss that isn't finite are an error."""
+    checked = F.when(F.isnan("loss") | (F.abs("loss") == float("inf")), F.raise_error(F.lit("a loss isn't finite"))).otherwise(F.col("loss"))
+    mean = (F.sum(checked * F.col("tokens")) / F.sum("tokens")).alias("loss")
+    return batches.groupBy("run").agg(mean).withColumn("perplexity", F.exp(F.least("loss", F.lit(20.0))))
+
+
+def parameters(vocabulary: int, hidden: int, inner: int, layers: int) -> int:
+    """Parameters of a decoder with tied embeddings: V H + L (4 H^2 + 3 H I + 2 H) + H."""
+    return vocabulary * hidden + layers * (4 * hidden * hidden + 3 * hidden * inner + 2 * hidden) + hidden
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with `turn`, their order by a seeded hash of the key: a shuffle that is the same on any cluster."""
+    from ..functions.text import split_hash
+
+    return rows.withColumn("turn", split_hash(F.col(key).cast("string"), seed))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake import catalog
 from corpuslake.functions import text as T
-from corpuslake.functions.html import visible_text
+from corpuslake.functions.unicode import visible_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,5 +42,5 @@ def test_ngrams_need_enough_words(spark):
 
 
 def test_visible_text():
-    assert visible_text("<p>a</p><script>x</script>b &amp;lt;") == "\nab <"
+    assert visible_text("<p>a</p><script>x</script>b &amp;lt;") == "\na\nb <"
     assert visible_text(None) is None
