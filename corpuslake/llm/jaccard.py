@@ -41,8 +41,8 @@ TILE, BITS, MOST_BITS = 1024, 1024, 1 << 14
 SMALL = 200_000
 #: Residues of hashes whose minima make the keys of a class.
 PAIRED = np.array([(0, 1), (2, 3), (4, 5), (6, 7), (0, 4), (1, 5)]).T
-#: Only the most alike are held against each other while that links more than one in so many classes; all pairs that are left come after.
-ALIKE = 20
+#: Only the most alike are held against each other while there are more candidates than one for so many classes (counted before a round links some of them).
+FEW = 1
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -275,7 +275,7 @@ def components(links: DataFrame) -> DataFrame:
 def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction, best: bool = False) -> DataFrame:
     """Candidate pairs of different components in the groups that hold several, tile by tile.
 
-    With `best`, each class gives only the pair that the bitmaps find most alike.
+    With `best`, each class gives only the pair that the bitmaps find most alike, and how many it has.
     """
     named = groups.join(comps, "cls", "left").select("s", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     #: Members of a group's largest component are held against its other members only, so it isn't dealt against itself.
@@ -320,10 +320,10 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
             alike = np.where(ok, most / np.maximum(both - most, 1), -1.0)
             i = np.flatnonzero(ok.any(1))
             j = alike[i].argmax(1)
-            yield c[i], cy[j], alike[i, j]
+            yield c[i], cy[j], alike[i, j], ok.sum(1)[i]
         else:
             i, j = np.nonzero(ok)
-            yield c[i], cy[j], np.zeros(len(i))
+            yield c[i], cy[j], np.zeros(len(i)), np.ones(len(i), dtype=np.int64)
 
     def run(batches):
         last, held = None, []
@@ -342,9 +342,9 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 found = chain(compare(sides[i], sides[j], False), compare(sides[j], sides[i], False, True))
             else:
                 return
-            for a, b, alike in found:
+            for a, b, alike, many in found:
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], names=["own", "a", "b", "alike"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike), pa.array(many)], names=["own", "a", "b", "alike", "many"])
 
         for batch in batches:
             for s, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "own", "cls", "n", "comp", "data")), strict=True):
@@ -354,9 +354,9 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 held.append(row)
         yield from flush()
 
-    found = map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "own long, a long, b long, alike double")
+    found = map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "own long, a long, b long, alike double, many long")
     if best:
-        found = found.groupBy("own").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b")
+        return found.groupBy("own").agg(F.max(F.struct("alike", "a", "b")).alias("p"), F.sum("many").alias("many")).select("p.a", "p.b", "many")
     return found.select("a", "b").distinct()
 
 
@@ -397,9 +397,11 @@ def _joined(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
     labels = components(links)
     groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets, t), "groups")
     tried = stars
-    best, enough = True, classes.count() // ALIKE
+    best, few = True, classes.count() // FEW
     while True:
-        rest = stash(_tiles(groups, labels, classes, t, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        candidates = stash(_tiles(groups, labels, classes, t, best), "candidates")
+        left = candidates.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] if best else 0
+        rest = stash(candidates.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         more = stash(_verified(rest, _items(docs, classes, rest, k), t), "more")
         tried = tried.unionByName(rest)
         found = more.count()
@@ -408,7 +410,7 @@ def _joined(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
             labels = components(links)
         if not best:
             break
-        best = found > enough
+        best = found > 0 and left > few
     least_doc = classes.join(labels, "cls").groupBy("comp").agg(F.min("doc_id").alias("component"))
     by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component", "doc_id").alias("component"))
     return rows.join(by_class, "cls", "left").select("doc_id", "h", "cls", "n", "comp", "component")
