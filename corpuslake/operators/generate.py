@@ -45,11 +45,12 @@ CORRECTIONS = (("he go home", "he goes home"), ("she have a dog", "she has a dog
 
 
 def _table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A small literal table; crossed with others it is sent to where they are."""
+    return F.broadcast(spark.createDataFrame(list(rows), schema).coalesce(1))
 
 
 def _numbers(spark: SparkSession, name: str, first: int, last: int) -> DataFrame:
-    return spark.range(first, last + 1).withColumnRenamed("id", name)
+    return F.broadcast(spark.range(first, last + 1, 1, 1).withColumnRenamed("id", name))
 
 
 def _cycle(templates, at: Column) -> Column:
@@ -67,7 +68,7 @@ def _rows(df: DataFrame, category: str, generator: str, group: Column, prompt: C
 
 def arithmetic(spark: SparkSession, most_a: int = 150, most_b: int = 90) -> DataFrame:
     """a op b for all a, b and the four operations, division only where it is exact."""
-    cross = _numbers(spark, "a", 1, most_a).crossJoin(F.broadcast(_numbers(spark, "b", 1, most_b))).withColumn("op", F.explode(F.array(*map(F.lit, "+−×÷")))).where("op <> '÷' OR a % b = 0")
+    cross = _numbers(spark, "a", 1, most_a).crossJoin(_numbers(spark, "b", 1, most_b)).withColumn("op", F.explode(F.array(*map(F.lit, "+−×÷")))).where("op <> '÷' OR a % b = 0")
     value = F.expr("CASE op WHEN '+' THEN a + b WHEN '−' THEN a - b WHEN '×' THEN a * b ELSE a div b END")
     said = F.concat("a", F.lit(" "), "op", F.lit(" "), "b")
     prompt = _fill(_cycle(("What is {x}?", "Work out {x}.", "{x} = ?"), F.col("a") + F.col("b")), x=said)
@@ -90,14 +91,14 @@ def explanations(spark: SparkSession, target: int = 60) -> DataFrame:
     """`target` rows that go round the concepts; each round takes the next prompt and style."""
     n = len(CONCEPTS)
     c = _table(spark, ((i, *x) for i, x in enumerate(CONCEPTS)), "k long, concept string, meaning string")
-    rows = spark.range(target).withColumn("k", F.col("id") % n).withColumn("round", F.floor(F.col("id") / n)).join(F.broadcast(c), "k")
+    rows = spark.range(target).withColumn("k", F.col("id") % n).withColumn("round", F.floor(F.col("id") / n)).join(c, "k")
     prompt = _fill(_cycle(("What is {c}?", "Explain {c}.", "Tell me about {c}."), F.col("round")), c=F.col("concept"))
     return _rows(rows, "explanations", "concepts", F.concat(F.lit("concept-"), "concept"), prompt, _fill(_cycle(STYLES, F.col("round")), c=F.col("concept"), d=F.col("meaning")), F.col("meaning"))
 
 
 def areas(spark: SparkSession) -> DataFrame:
     """Rectangles with sides from 2 to 31, in six prompts by five answers."""
-    s = _numbers(spark, "a", 2, 31).crossJoin(F.broadcast(_numbers(spark, "b", 2, 31))).withColumn("v", F.expr("a * b")).withColumn("at", F.expr("(a - 2) * 30 + b - 2"))
+    s = _numbers(spark, "a", 2, 31).crossJoin(_numbers(spark, "b", 2, 31)).withColumn("v", F.expr("a * b")).withColumn("at", F.expr("(a - 2) * 30 + b - 2"))
     prompts = ("Find the area of a rectangle of {a} by {b}.", "A rectangle is {a} long and {b} wide. What is its area?", "Area of {a} × {b}?", "How large is a field of {a} by {b}?", "Sides {a} and {b}: area?", "What area has a {a} by {b} rectangle?")
     answers = ("{a} times {b} is {v}.", "The area is {v}.", "{v}, as {a} × {b} = {v}.", "Multiply {a} by {b}: {v}.", "It is {v} square units.")
     fill = {x: F.col(x) for x in ("a", "b", "v")}
@@ -106,7 +107,7 @@ def areas(spark: SparkSession) -> DataFrame:
 
 def percents(spark: SparkSession) -> DataFrame:
     """Thirteen rates of 10, 20, ... 200; whole results as integers, others to two places."""
-    p = _table(spark, ((x,) for x in PERCENTS), "p long").crossJoin(F.broadcast(_numbers(spark, "t", 1, 20))).withColumn("w", F.expr("t * 10"))
+    p = _table(spark, ((x,) for x in PERCENTS), "p long").crossJoin(_numbers(spark, "t", 1, 20)).withColumn("w", F.expr("t * 10"))
     exact = F.col("w") * F.col("p")
     v = F.when(exact % 100 == 0, F.expr("cast(w * p div 100 AS string)")).otherwise(F.regexp_replace((exact / 100).cast("decimal(12,2)").cast("string"), r"0$", ""))
     return _rows(p.withColumn("v", v), "explanations", "percent", F.concat(F.lit("percent-"), "p", F.lit("-"), "w"), _fill(F.lit("What is {p}% of {w}?"), p=F.col("p"), w=F.col("w")), _fill(F.lit("{p}% of {w} is {v}."), p=F.col("p"), w=F.col("w"), v=F.col("v")), F.col("v"))
@@ -180,7 +181,7 @@ def english(spark: SparkSession) -> DataFrame:
 
 def long_context(spark: SparkSession, facts_: int = 120) -> DataFrame:
     """A long list of facts and a question on one of them, by position."""
-    said = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(facts_)), lambda i: F.concat(F.lit("Box "), i.cast("string"), F.lit(" holds "), (i * 37 % 101).cast("string"), F.lit(" coins."))), " ")
+    said = F.lit(" ".join(f"Box {i} holds {i * 37 % 101} coins." for i in range(1, facts_ + 1)))
     q = _numbers(spark, "k", 1, 10).withColumn("box", F.expr("k * 11"))
     value = F.col("box") * 37 % 101
     return _rows(q, "multi_turn", "long_context", F.concat(F.lit("long-"), F.col("box").cast("string")), F.concat(said, F.lit(" How many coins are in box "), "box", F.lit("?")), F.concat(F.lit("Box "), "box", F.lit(" holds "), value, F.lit(" coins.")), value)
