@@ -2,10 +2,9 @@
 
 A shard is a few megabytes of documents.  Its suffix array orders all word positions that can
 begin a match (a match has words of the benchmark only, so runs of other words are left out
-before sorting); every suffix of every benchmark item is then searched in it by bisection, which
-gives the longest verbatim match and where it stands.  Windows of `size` item words (whole
-items, where shorter) that occur are exactly the suffixes whose match is that long, and the
-interval of the array gives all their places.
+before sorting); the suffixes of all benchmark items are then searched in it together by bisection, to
+their first `size` words (whole items, where shorter).  The interval of the array gives all places of
+a window, and windows that follow each other in item and text join into the longest verbatim matches.
 
 The benchmark is looked at in blocks of at most BLOCK_WORDS words, each sent to the executors whole;
 documents are read once for each block and are not shuffled while there is one block.
@@ -52,39 +51,31 @@ class SuffixArray:
             rank[self.order] = np.cumsum(np.concatenate(([1], held[1:] != held[:-1]))) if n else held
             width *= 2
 
-    def interval(self, pattern: np.ndarray) -> tuple[int, int, int]:
-        """(length of the longest prefix of pattern that occurs, first and end index of its suffixes)."""
-        lo, hi, s = 0, len(self.order), self.symbols
-        for k, c in enumerate(pattern[: self.depth]):
-            part = self.order[lo:hi] + k
-            column = np.where(part < len(s), s[np.minimum(part, len(s) - 1)], 0) if hi - lo <= 64 else _Column(self.order, s, lo, hi, k)
-            a, b = (np.searchsorted(column, c, "left"), np.searchsorted(column, c, "right")) if hi - lo <= 64 else column.range(c)
-            if a == b:
-                return k, lo, hi
-            lo, hi = lo + int(a), lo + int(b)
-        return min(len(pattern), self.depth), lo, hi
-
-
-class _Column:
-    """The k-th symbols of an interval of suffixes, bisected without being copied."""
-
-    def __init__(self, order: np.ndarray, symbols: np.ndarray, lo: int, hi: int, k: int) -> None:
-        self.order, self.symbols, self.lo, self.hi, self.k = order, symbols, lo, hi, k
-
-    def _bound(self, c: int, right: bool) -> int:
-        a, b = self.lo, self.hi
-        while a < b:
-            m = (a + b) // 2
-            at = self.order[m] + self.k
-            x = self.symbols[at] if at < len(self.symbols) else 0
-            if x < c or right and x == c:
-                a = m + 1
-            else:
-                b = m
-        return a - self.lo
-
-    def range(self, c: int) -> tuple[int, int]:
-        return self._bound(c, False), self._bound(c, True)
+    def intervals(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end index of the suffixes that begin with each pattern (rows, of `lengths` symbols), all bisected together."""
+        lo, hi = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), len(self.order), dtype=np.int64)
+        for k in range(patterns.shape[1]):
+            on = np.flatnonzero((lengths > k) & (lo < hi))
+            if not len(on):
+                break
+            c = patterns[on, k]
+            first = self._bound(lo[on], hi[on], c, k, np.less)
+            hi[on] = self._bound(first, hi[on], c, k, np.less_equal)
+            lo[on] = first
+        return lo, hi
+
+    def _bound(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int, goes_on) -> np.ndarray:
+        a, b = a.copy(), b.copy()
+        on = np.flatnonzero(a < b)
+        while len(on):
+            m = (a[on] + b[on]) // 2
+            at = self.order[m] + k
+            x = np.where(at < len(self.symbols), self.symbols[np.minimum(at, len(self.symbols) - 1)], 0)
+            right = goes_on(x, c[on])
+            a[on[right]] = m[right] + 1
+            b[on[~right]] = m[~right]
+            on = on[a[on] < b[on]]
+        return a
 
 
 def _blocks(bench: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
@@ -108,15 +99,22 @@ class _Matcher:
         self.items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], dtype=np.int64) for _, ws in items]
         self.size, self.get = size, vocabulary.get
         self.least = min([size, *map(len, self.items)])
-        #: Suffixes of the same window are searched once.
-        self.windows: dict[bytes, tuple[np.ndarray, list[int]]] = {}
+        #: Equal windows are searched once; owners are the (item, place in it) of each, in order of the windows.
+        windows: dict[bytes, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             for a in range(max(1, len(item) - size + 1)):
-                w = item[a : a + size]
-                self.windows.setdefault(w.tobytes(), (w, []))[1].append(i)
+                windows.setdefault(item[a : a + size].tobytes(), []).append((i, a))
+        self.lengths = np.fromiter((len(w) // 8 for w in windows), dtype=np.int64, count=len(windows))
+        self.patterns = np.full((len(windows), size), -1, dtype=np.int64)
+        for row, w in zip(self.patterns, windows, strict=True):
+            own = np.frombuffer(w, dtype=np.int64)
+            row[: len(own)] = own
+        self.many = np.fromiter(map(len, windows.values()), dtype=np.int64, count=len(windows))
+        self.owners = np.array([o for x in windows.values() for o in x], dtype=np.int64).reshape(-1, 2)
+        self.first = np.cumsum(self.many) - self.many
 
     def __call__(self, texts: list[bytes]):
-        """(words of each text, hit words of each text, set of items of each text, (text, start, length) of the matches)."""
+        """(words of each text, hit words of each text, set of items of each text, (text, start, length, item) of the longest matches)."""
         lists = [words_of(t) for t in texts]
         count = np.array([len(x) for x in lists], dtype=np.int64)
         ids = np.zeros(int(count.sum()) + len(lists), dtype=np.int64)
@@ -129,29 +127,47 @@ class _Matcher:
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = b - a >= self.least
         a, b = a[long], b[long]
-        hit = np.zeros(len(ids), dtype=bool)
         found: list[set[int]] = [set() for _ in texts]
-        matches: list[tuple[int, int, int]] = []
+        matches: list[tuple[int, int, int, int]] = []
+        depth = np.zeros(len(ids) + 1, dtype=np.int64)
         if len(a):
             size = b - a + 1
             at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             held = np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], 0)
             array = SuffixArray(held, self.size)
-            for w, owners in self.windows.values():
-                n, lo, hi = array.interval(w)
-                if n < len(w):
-                    continue
-                for p in at[array.order[lo:hi]].tolist():
-                    d = int(np.searchsorted(starts, p, "right")) - 1
-                    hit[p : p + len(w)] = True
-                    found[d].update(owners)
-                    matches.append((d, p - int(starts[d]), len(w)))
-        sums = np.concatenate(([0], np.cumsum(hit)))
+            lo, hi = array.intervals(self.patterns, self.lengths)
+            w = np.flatnonzero(hi > lo)
+            many = (hi - lo)[w]
+            window = np.repeat(w, many)
+            place = at[array.order[np.repeat(lo[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
+            np.add.at(depth, place, 1)
+            np.add.at(depth, place + self.lengths[window], -1)
+            matches = self._longest(window, place, starts)
+            for d, _, _, i in matches:
+                found[d].add(i)
+        sums = np.concatenate(([0], np.cumsum(np.cumsum(depth)[:-1] > 0)))
         return count, sums[starts[1:]] - sums[starts[:-1]], found, matches
 
+    def _longest(self, window: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Windows of an item that follow each other in item and text are one match, as long as it can be."""
+        if not len(window):
+            return []
+        many = self.many[window]
+        o = self.owners[np.repeat(self.first[window] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        place, length = np.repeat(place, many), np.repeat(self.lengths[window], many)
+        item, shift = o[:, 0], place - o[:, 1]
+        order = np.lexsort((place, shift, item))
+        item, shift, place, length = item[order], shift[order], place[order], length[order]
+        new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + 1))))
+        last = np.append(new[1:], len(item)) - 1
+        doc = np.searchsorted(starts, place[new], "right") - 1
+        size = place[last] + length[last] - place[new]
+        return list(zip(doc.tolist(), (place[new] - starts[doc]).tolist(), size.tolist(), item[new].tolist(), strict=True))
+
 
 def matches(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids as strings of the items that occur)."""
+    """Per document: doc_id, n_words, n_hit, items (sorted ids as strings of the items that occur) and spans, the
+    longest verbatim matches: first word, number of words, item."""
     #: Each block of items adds to the rows that the blocks before it return, so rows need no key.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.lit(None).cast(t).alias(c) for c, t in _FOUND.items()))
     for items in _blocks(bench):
@@ -162,15 +178,15 @@ def matches(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
                 n, hit, names, where = m(texts)
                 spans = [x or [] for x in batch.column("spans").to_pylist()]
                 before = [bool(x) for x in spans]
-                for d, p, k in where:
-                    spans[d].append({"start": p, "length": k})
-                for d in {d for d, _, _ in where}:
+                for d, p, k, i in where:
+                    spans[d].append({"start": p, "length": k, "item": m.names[i]})
+                for d in {x[0] for x in where}:
                     if before[d]:  # hit words of several blocks count once
                         hit[d] = len(set().union(*(range(x["start"], x["start"] + x["length"]) for x in spans[d])))
                 hit = [h if h or not old else old for h, old in zip(hit.tolist(), batch.column("n_hit").to_pylist(), strict=True)]
                 names = [sorted({m.names[i] for i in f} | set(old or [])) for f, old in zip(names, batch.column("items").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
+                    [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string())])))],
                     names=["doc_id", "text", *_FOUND],
                 )
 
@@ -178,7 +194,7 @@ def matches(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
     return found.drop("text")
 
 
-_FOUND = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:long,length:long>>"}
+_FOUND = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:long,length:long,item:string>>"}
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
