@@ -91,28 +91,62 @@ def _confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value being computed once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(lengths: Column) -> Column:
+    """Sums up to each item, in runs of the square root of their number, so that no array grows for long."""
+    n = F.size(lengths)
+
+    def runs(size: Column) -> Column:
+        part = lambda c: F.slice(lengths, c * size + 1, size)
+        total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+        numbers = F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+
+        def summed(c: Column, before: Column) -> Column:
+            none = F.struct(before.alias("pos"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(part(c), none, lambda a, y: F.struct((a["pos"] + y).alias("pos"), F.concat(a["out"], F.array(a["pos"] + y)).alias("out")), lambda a: a["out"])
+
+        return _let(F.transform(numbers, lambda c: total(part(c))), lambda sums: F.flatten(F.transform(numbers, lambda c: summed(c, total(F.slice(sums, F.lit(1), c))))))
+
+    return F.when(n > 0, _let(F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int"), runs)).otherwise(F.array().cast("array<int>"))
+
+
+#: So many pieces of a text on either side of a match hold all that is NEAR it, a match being two characters at least.
+_AROUND = NEAR // 2
+
+
 def _found(kind: Kind, text: str, hits: str) -> Column:
-    """Spans of one kind: matches are laid between the parts that splitting by the same pattern leaves."""
-    gaps = F.split(F.col(text), kind.pattern, -1)
-    here = "struct<kind:string,rank:int,start:int,end:int,score:double>"
+    """Spans of one kind: matches are laid between the parts that splitting by the same pattern leaves.
+
+    Places come from running sums of lengths and context from the neighbouring parts; nothing is looked up from the text's start.
+    """
+    here = "array<struct<kind:string,rank:int,start:int,end:int,score:double>>"
     rank = [k.name for k in KINDS].index(kind.name)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        near = F.substr(F.col(text), F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-        after = F.substr(F.col(text), end + 1, F.lit(NEAR))
-        score = F.lit(kind.score) + F.when(F.concat(near, F.lit("\n"), after).rlike(kind.context), kind.context_score).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), score.alias("score"))
-        keep = _confirmed(kind.name, x["hit"])
-        if kind.name not in BASE:
-            keep = keep & (score >= ENOUGH)
-        return F.struct(end.alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def scored(x: Column, pairs: Column, last: Column) -> Column:
+        joined = lambda p: F.array_join(F.flatten(F.transform(p, lambda y: F.array(y["gap"], y["hit"]))), "")
+        i = x["i"]
+        first = F.greatest(i - _AROUND, F.lit(0))
+        before = F.concat(joined(F.slice(pairs, first + 1, i - first)), F.get(pairs, i)["gap"])
+        behind = F.concat(joined(F.slice(pairs, i + 2, F.lit(_AROUND + 1))), F.when(i + _AROUND + 2 > F.size(pairs), last).otherwise(""))
+        near = F.concat(F.right(before, F.lit(NEAR)), F.lit("\n"), F.left(behind, F.lit(NEAR)))
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.context_score).otherwise(0.0)
+        return F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
+
+    def spans(both: Column) -> Column:
+        pairs, ends, last = both["pairs"], both["ends"], both["last"]
+        every = F.zip_with(F.transform(pairs, lambda p, i: F.struct(p["hit"].alias("hit"), i.alias("i"))), ends, lambda h, e: F.struct(h["hit"].alias("hit"), h["i"].alias("i"), (e - F.length(h["hit"])).alias("start"), e.alias("end")))
+        found = F.transform(F.filter(every, lambda x: _confirmed(kind.name, x["hit"])), lambda x: scored(x, pairs, last))
+        return found if kind.name in BASE else F.filter(found, lambda x: x["score"] >= ENOUGH)
+
+    def laid(gaps: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.col(hits), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        return _let(pairs, lambda p: _let(F.struct(p.alias("pairs"), _running(F.transform(p, lambda y: F.length(y["gap"]) + F.length(y["hit"]))).alias("ends"), F.element_at(gaps, -1).alias("last")), spans))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.col(hits), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{here}>").alias("out"))
-    spans = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(f"array<{here}>"))
+    return F.when(F.size(hits) > 0, _let(F.split(F.col(text), kind.pattern, -1), laid)).otherwise(F.array()).cast(here)
 
 
 def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
@@ -127,12 +161,12 @@ def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> Data
         df = df.withColumn(f"{mark}s_{k.name}", _found(k, f"{mark}text", f"{mark}h_{k.name}"))
 
     def order(a: Column, b: Column) -> Column:
-        key = lambda x: x["start"] * F.lit(16) + x["rank"]
+        key = lambda x: x["start"].cast("long") * F.lit(16) + x["rank"]
         return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
     every = F.flatten(F.array(*[F.col(f"{mark}s_{k.name}") for k in KINDS]))
     df = df.withColumn(into, F.array_sort(every, order))
-    return df.drop(*[c for c in df.columns if c.startswith(mark)])
+    return df.drop(f"{mark}text", *(f"{mark}{x}_{k.name}" for x in "hs" for k in KINDS))
 
 
 def written(spans: Column) -> Column:
