@@ -7,9 +7,9 @@ sample finds frequent last; any order gives the same links, a good one fewer can
 
 First large groups of near copies are joined with few comparisons: every class has a few keys of two
 minima of its hashes each, and is held against the least class that has the same key.  It is a
-shortcut only, whatever it misses is found after it.  Classes that share a prefix shingle are a group.  In
-a few rounds each class is held against the one of another component in its tile that its bitmap finds
-most alike, so that dense groups become one component without all their pairs.  Then, only in groups that still hold several
+shortcut only, whatever it misses is found after it.  Classes that share a prefix shingle are a group.  First
+each tile gives a forest of the pairs of different components that their bitmaps find most alike,
+so that dense groups become one component without all their pairs.  Then, only in groups that still hold several
 components, classes of different components are compared in tiles: members are dealt to tiles of
 bounded size, sorted by set size, and in each pair of tiles only classes within the size band are
 held against each other, first by hashed bitmaps (every bit in which two bitmaps differ is a shingle
@@ -41,8 +41,6 @@ TILE, BITS, MOST_BITS = 1024, 1024, 1 << 14
 SMALL = 200_000
 #: Residues of hashes whose minima make the keys of a class.
 PAIRED = np.array([(0, 1), (2, 3), (4, 5), (6, 7), (0, 4), (1, 5)]).T
-#: Only the most alike are held against each other while there are more candidates than one for so many classes (counted before a round links some of them).
-FEW = 1
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -275,7 +273,7 @@ def components(links: DataFrame) -> DataFrame:
 def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction, best: bool = False) -> DataFrame:
     """Candidate pairs of different components in the groups that hold several, tile by tile.
 
-    With `best`, each class gives only the pair that the bitmaps find most alike, and how many it has.
+    With `best`, a tile gives only a forest of the pairs that the bitmaps find most alike, which spans all its pairs.
     """
     named = groups.join(comps, "cls", "left").select("s", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     #: Members of a group's largest component are held against its other members only, so it isn't dealt against itself.
@@ -316,14 +314,8 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
             ok = np.triu(ok, 1)
         else:
             ok &= ny[None, :] > n[:, None] if strict else ny[None, :] >= n[:, None]
-        if best:
-            alike = np.where(ok, most / np.maximum(both - most, 1), -1.0)
-            i = np.flatnonzero(ok.any(1))
-            j = alike[i].argmax(1)
-            yield c[i], cy[j], alike[i, j], ok.sum(1)[i]
-        else:
-            i, j = np.nonzero(ok)
-            yield c[i], cy[j], np.zeros(len(i)), np.ones(len(i), dtype=np.int64)
+        i, j = np.nonzero(ok)
+        yield c[i], cy[j], comp[i], compy[j], (most[i, j] / np.maximum(both[i, j] - most[i, j], 1))
 
     def run(batches):
         last, held = None, []
@@ -342,9 +334,15 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 found = chain(compare(sides[i], sides[j], False), compare(sides[j], sides[i], False, True))
             else:
                 return
-            for a, b, alike, many in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike), pa.array(many)], names=["own", "a", "b", "alike", "many"])
+            found = [x for x in found if len(x[0])]
+            if not found:
+                return
+            if best:
+                whole = [np.concatenate(x) for x in zip(*found, strict=True)]
+                keep = forest(*whole[2:])
+                found = [[x[keep] for x in whole]]
+            for a, b, *_ in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
             for s, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "own", "cls", "n", "comp", "data")), strict=True):
@@ -354,10 +352,26 @@ def _tiles(groups: DataFrame, comps: DataFrame, classes: DataFrame, t: Fraction,
                 held.append(row)
         yield from flush()
 
-    found = map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "own long, a long, b long, alike double, many long")
-    if best:
-        return found.groupBy("own").agg(F.max(F.struct("alike", "a", "b")).alias("p"), F.sum("many").alias("many")).select("p.a", "p.b", "many")
-    return found.select("a", "b").distinct()
+    found = map_arrow(dealt.repartition(F.col("s"), F.col("i"), F.col("j")).sortWithinPartitions("s", "i", "j"), run, "a long, b long")
+    return found.distinct()
+
+
+def forest(one: np.ndarray, other: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Places of edges (one, other) that span all the edges do, the most alike first; at most one fewer than there are nodes."""
+    nodes, ends = np.unique(np.concatenate((one, other)), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), ends[: len(one)], ends[len(one) :]
+    left, chosen = np.argsort(-alike, kind="stable"), []
+    while len(left):
+        a, b = label[x[left]], label[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        #: The best edge of every tree, in order, so that edges between two trees agree.
+        first = np.unique(np.unique(np.stack((a, b), 1).ravel(), return_index=True)[1] // 2)
+        for i in first.tolist():
+            p, q = label[x[left[i]]], label[y[left[i]]]
+            if p != q:
+                label[label == max(p, q)] = min(p, q)
+                chosen.append(left[i])
+    return np.array(chosen, dtype=np.int64)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -397,20 +411,13 @@ def _joined(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
     labels = components(links)
     groups = stash(_groups(_scan(docs, k, t, buckets, frequent, True), buckets, t), "groups")
     tried = stars
-    best, few = True, classes.count() // FEW
-    while True:
-        candidates = stash(_tiles(groups, labels, classes, t, best), "candidates")
-        left = candidates.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] if best else 0
-        rest = stash(candidates.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    for best in (True, False):
+        rest = stash(_tiles(groups, labels, classes, t, best).join(tried, ["a", "b"], "left_anti"), "rest")
         more = stash(_verified(rest, _items(docs, classes, rest, k), t), "more")
         tried = tried.unionByName(rest)
-        found = more.count()
-        if found:
+        if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        if not best:
-            break
-        best = found > 0 and left > few
     least_doc = classes.join(labels, "cls").groupBy("comp").agg(F.min("doc_id").alias("component"))
     by_class = classes.join(labels, "cls", "left").join(least_doc, "comp", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component", "doc_id").alias("component"))
     return rows.join(by_class, "cls", "left").select("doc_id", "h", "cls", "n", "comp", "component")
