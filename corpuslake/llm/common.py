@@ -1,4 +1,4 @@
-"""Shared pieces: table access, tables in the shared folder, chunks of text, word hashes.
+"""Shared pieces: chunks of text, word hashes, calls of Arrow functions.
 
 Text kernels work on the UTF-8 bytes of a few megabytes of documents at once,
 so that the work for a word is a handful of NumPy operations, never a Python loop.
@@ -6,72 +6,23 @@ so that the work for a word is a handful of NumPy operations, never a Python loo
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions, shared_dir, ship, stash, table
+
+__all__ = ["partitions", "shared_dir", "ship", "stash", "table"]
+
 #: Bytes of text that a kernel takes at once (a longer document is taken alone).
 CHUNK_BYTES = 2 << 20
 #: Characters between words in the contracts: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_corpuslake_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):
-        target = os.path.join(tempfile.mkdtemp(prefix="corpuslake-"), "corpuslake.zip")
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(root):
-                for n in sorted(names):
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        with open(target, "wb") as out:
-            out.write(data.getvalue())
-        sc.addPyFile(target)
-    sc._corpuslake_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark.sparkContext, "_corpuslake_dir", None)
-        if where is None:
-            where = "file://" + tempfile.mkdtemp(prefix="corpuslake-shared-")
-            spark.sparkContext._corpuslake_dir = where
-    return where.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -13,4 +13,60 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op7_topk": OP7}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, unnest(list_transform(range(1, len(ws) - 48), lambda i: sha256(array_to_string(list_slice(ws, i, i + 49), ' ')))) AS h FROM w
+), f AS (
+  SELECT h, min(doc_id) AS d FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM win JOIN f USING (h), range(50) t(k) WHERE f.d < doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = rf"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT item_id, least(10, len(ws)) AS k, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda i: array_to_string(list_slice(ws, i, i + least(10, len(ws)) - 1), ' '))) AS g FROM b WHERE len(ws) > 0
+), w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), dw AS (
+  SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS g FROM w, (SELECT DISTINCT k FROM win)
+), hits AS (
+  SELECT doc_id, i, k, item_id FROM dw JOIN win USING (k, g)
+), places AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM hits, range(10) t(o) WHERE o < k GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) END AS s FROM w
+), rows_ AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM rows_ x JOIN rows_ y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c) UNION SELECT b, a FROM common WHERE 100 * c >= 75 * (na + nb - c)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id FROM sets s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op7_topk": OP7, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_ngram_jaccard": OP10}
