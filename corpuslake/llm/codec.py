@@ -3,9 +3,10 @@
 A block is up to BLOCK ids, coded on its own: all statistics start anew, and its header has the number of
 ids, the number of bytes and a CRC-32 of the ids.  Three predictions are mixed for each id: the last id
 seen after the two before it (order 2), the last id seen after the one before it (order 1), and id
-frequencies so far (order 0, in four steps of four bits).  The weights of the three adapt to how often
-each was right at the present confidence of the first two.  The mixture drives a range coder
-with 48-bit bounds.
+frequencies so far (order 0, in four steps of four bits).  The share of an id is the sum of the weights of the
+predictions that are of it, order 0 giving its weight to all other ids by their frequencies.  The weights
+adapt in each state of both confidences and of whether the first two agree.  The mixture drives a range coder
+with 48-bit bounds.  (Order 0 also gives the ids predicted by the others a part that isn't used.)
 
 A decoder can't look ahead, so blocks are the lanes of NumPy arrays: one step codes one id in every lane.
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_ids, map_arrow, stash
-from .tokens import encoder
+from .tokens import encoder, text_batches
 
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 4096, 512
 _HEAD = struct.Struct("<III")
 _TOP, _FULL, _LEAST = np.uint64(40), np.uint64((1 << 48) - 1), np.uint64(1 << 24)
 _LOW = np.uint64((1 << 40) - 1)
@@ -42,7 +43,7 @@ class _Lanes:
 
     def __init__(self, n: int, top_id: int) -> None:
         self.x1, self.x2 = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
-        self.weights = np.ones((n * 16, 3), np.uint32)
+        self.weights = np.ones((n * 32, 3), np.uint32)
         self.last1, self.sure1 = np.full(n * _SLOTS1, -1, np.int32), np.zeros(n * _SLOTS1, np.uint8)
         self.last2, self.sure2 = np.full(n * _SLOTS2, -1, np.int32), np.zeros(n * _SLOTS2, np.uint8)
         self.sizes = [1, (top_id >> 12) + 1, (top_id >> 8) + 1, (top_id >> 4) + 1]
@@ -58,7 +59,18 @@ class _Lanes:
         a, b = self.prev1[:m], self.prev2[:m]
         s1 = lane * _SLOTS1 + ((a * 0x9E3779B1 >> 12) & (_SLOTS1 - 1))
         s2 = lane * _SLOTS2 + (((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 14) & (_SLOTS2 - 1))
-        return s1, s2, self.last1[s1], self.last2[s2], lane * 16 + np.minimum(self.sure2[s2], 3) * 4 + np.minimum(self.sure1[s1], 3)
+        c1, c2 = self.last1[s1], self.last2[s2]
+        #: Where both orders predict the same id their shares are one; that is a state of its own.
+        row = lane * 32 + (c1 == c2) * 16 + np.minimum(self.sure2[s2], 3) * 4 + np.minimum(self.sure1[s1], 3)
+        return s1, s2, c1, c2, row
+
+    def shares(self, row: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """Weights of order 2, 1 and 0; those of two orders that agree are added."""
+        w = self.weights[row].astype(np.uint64)
+        agree = c1 == c2
+        w[agree, 0] += w[agree, 1]
+        w[agree, 1] = 0
+        return w
 
     def learn(self, m: int, ids: np.ndarray, how: np.ndarray, s1, s2, row) -> None:
         self.weights[row, how] += 8
@@ -119,7 +131,7 @@ def _code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         x = ids[t, :m]
         s1, s2, c1, c2, row = lanes.predict(m)
         how = np.where(c2 == x, 0, np.where(c1 == x, 1, 2))
-        w = lanes.weights[row].astype(np.uint64)
+        w = lanes.shares(row, c1, c2)
         cum = np.cumsum(w, axis=1)
         every, here = np.arange(m), slice(0, m)
         own = w[every, how]
@@ -164,7 +176,7 @@ def _decode_blocks(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
     for t in range(longest):
         m = int(active[t])
         s1, s2, c1, c2, row = lanes.predict(m)
-        w = lanes.weights[row].astype(np.uint64)
+        w = lanes.shares(row, c1, c2)
         cum = np.cumsum(w, axis=1)
         every, here = np.arange(m), slice(0, m)
         r = lanes.share(here, cum[:, 2])
@@ -197,7 +209,9 @@ def _decode_blocks(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """Blocks of a run of ids, each with its header."""
+    """Blocks of a run of ids, each with its header; an id above TOP_ID is an error."""
+    if len(ids) and int(ids.max()) > TOP_ID:
+        raise ValueError(f"ids go up to {TOP_ID}, not {int(ids.max())}")
     blocks = [ids[i : i + BLOCK].astype(np.int64) for i in range(0, len(ids), BLOCK)]
     out = []
     for a in range(0, len(blocks), LANES):
@@ -235,7 +249,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seq = encoder(tokenizer, False), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, False).many, TaskContext.get().partitionId(), 0
         ids, runs, size = [], [], 0
 
         def flush():
@@ -244,10 +258,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "seq", "doc_ids", "lengths", "n_tokens", "data"])
 
-        for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for batch, texts in text_batches(batches):
+            for i, own in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids.append(i)
-                runs.append(np.append(encode(t.as_py()), np.uint32(end_id)))
+                runs.append(np.append(own, np.uint32(end_id)))
                 size += len(runs[-1])
                 if size >= BLOCK * LANES:
                     yield flush()
