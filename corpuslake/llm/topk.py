@@ -6,7 +6,8 @@ bound for all scores in the block.  A query visits blocks by falling bound, scor
 through its forward index (the matrix of its vectors), and stops when the bound is below its k-th score.
 
 Blocks are dealt to groups and queries to batches; each (batch, group) is one piece of work with bounded
-memory, and the k best of a query over all groups are merged at the end.
+memory, and the k best of a query over all groups are merged at the end.  Blocks travel to every batch of
+queries, in the smallest integers that hold them: bounds save work, not the way.
 
 Cases: vectors that are null or hold a null, NaN or infinite component take no part, as query or
 candidate; shorter vectors count as padded with zeros; repeated ids are rows of their own, and only the
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stash
 
 #: Vectors of a block, blocks of a group, queries of a batch.
-BLOCK, GROUP, BATCH = 1024, 16, 1024
+BLOCK, GROUP, BATCH = 1024, 32, 4096
 
 
 def usable(vectors: DataFrame, embedding: str) -> DataFrame:
@@ -50,6 +51,8 @@ def _blocks(vectors: DataFrame, every: int) -> DataFrame:
                 m[at, : len(r)] = r
             no = count[kind]
             count[kind] += 1
+            least, most = int(m.min(initial=0)), int(m.max(initial=0))
+            m = m.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
             cols = ([kind], [part], [no], [np.array([i for i, _, _ in own], dtype="<i8").tobytes()], [np.array([p for _, p, _ in own], dtype="<i8").tobytes()], [m.tobytes()], [width])
             types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "part", "no", "ids", "rows", "matrix", "width"])
@@ -76,7 +79,9 @@ def _blocks(vectors: DataFrame, every: int) -> DataFrame:
 class _Block:
     def __init__(self, ids: bytes, rows: bytes, matrix: bytes, width: int) -> None:
         self.ids, self.rows = np.frombuffer(ids, dtype="<i8"), np.frombuffer(rows, dtype="<i8")
-        self.matrix = np.frombuffer(matrix, dtype="<i8").reshape(len(self.ids), width)
+        #: In the smallest integers that hold the block.
+        m = np.frombuffer(matrix, dtype=f"<i{len(matrix) // max(1, len(self.ids) * width)}") if matrix else np.zeros(0, dtype="<i8")
+        self.matrix = m.reshape(len(self.ids), width).astype(np.int64)
         self.most, self.least = self.matrix.max(0), self.matrix.min(0)
 
 
