@@ -45,6 +45,8 @@ MIN_GAIN = 0.5
 #: Bytes of text that name their grams together.
 GRAM_BYTES = 6 << 20
 HEAD = 1 << 17
+#: Probabilities travel with so many binary digits after the point.
+STEP_BITS = 19
 #: Name of the end token among the word hashes.
 END = np.uint64(0x5851F42D4C957F2D)
 _PAD = b"\n" * DEPTH
@@ -184,6 +186,11 @@ def _expand(data: bytes, *kinds: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(y.T).view(k).ravel() for y, k in zip(np.split(x, np.cumsum(sizes)[:-1]), kinds, strict=True)]
 
 
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Logarithms (0 or less) in steps of 2**-STEP_BITS; the highest of the four bytes is hardly ever used, so it travels for nothing."""
+    return np.rint(x * -float(1 << STEP_BITS)).astype(np.uint32)
+
+
 def _distinct(names: np.ndarray) -> np.ndarray:
     names = np.sort(names)
     return names[np.concatenate(([True], names[1:] != names[:-1]))] if len(names) else names
@@ -367,7 +374,7 @@ def _answer(scanned: DataFrame, top: Upper, buckets: int) -> DataFrame:
             pairs = np.empty(len(names), dtype=_PAIR)
             pairs["k"], pairs["n"] = names, np.bincount(back, weights=n, minlength=len(names)).astype(np.uint64)
             log, levels = predict(top, pairs)
-            found = log.astype(np.float32)[back]
+            found = _fixed(log)[back]
             data = [_squeeze(x) for x in np.split(found, np.cumsum(size)[:-1])]
             retained = [[len(x.contexts) for x in levels]] + [None] * (len(held) - 1)
             cols = ([h[0] for h in held], [h[1] for h in held], [bucket] * len(held), data, retained)
@@ -461,8 +468,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 s, ends = _expand(stream, np.uint8)[0], np.cumsum(np.array(sizes, dtype=np.int64))
                 scored = _scored(ends)
                 names, back = np.unique(_grams(s)[scored].byteswap(), return_inverse=True)
-                log = np.empty(len(names), dtype=np.float32)
-                log[np.argsort(_bucket_of(names.byteswap(), buckets), kind="stable")] = np.concatenate([_expand(x, np.float32)[0] for x in logs])
+                log = np.empty(len(names))
+                log[np.argsort(_bucket_of(names.byteswap(), buckets), kind="stable")] = np.concatenate([_expand(x, np.uint32)[0] for x in logs]) / -float(1 << STEP_BITS)
                 along = np.concatenate(([0.0], np.cumsum(log[back], dtype=np.float64)))
                 bounds = np.concatenate(([0], ends - DEPTH * np.arange(1, len(ends) + 1)))
                 scores = along[bounds[1:]] - along[bounds[:-1]]
