@@ -212,7 +212,16 @@ def lr_schedule(spark, sf_dir):
     return telemetry.lr_scale(spark.range(1000).withColumnRenamed("id", "step"), 100, 1000, 0.1)
 
 
-@query("html_text")
+#: Visible text as SQL states it: unseen content, comments and tags go, block tags are line ends, the references of the pages are resolved twice.
+_RESOLVED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_HTML = rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?is)<(?:script|style|noscript)\b[^>]*>.*?</(?:script|style|noscript)\s*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '(?i)</?(?:p|div|li|h1|h2|h3|tr)(?:\s[^>]*)?>|<br(?:\s[^>]*)?/?>', chr(10), 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(t, '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM c)
+SELECT page_id, {_RESOLVED.format(_RESOLVED.format('t'))} AS text FROM d"""
+
+
+@query("html_text", _HTML)
 def html_text(spark, sf_dir):
     from .functions.unicode import strip_html
 
