@@ -39,6 +39,8 @@ SHARD_WORDS = 200_000
 #: Windows of hot anchors in a bucket, about.
 BUCKET_WINDOWS = 2_000_000
 NO_ID, NEVER = -(1 << 63), (1 << 63) - 1
+#: Rows of groups that may be sent to every executor, and tasks for the segments of one group beyond that.
+SMALL, SALTS = 200_000, 16
 _SEG = np.dtype([("a", "<u8"), ("g", "<u8"), ("d", "<i8"), ("i", "<u4"), ("n", "<u4")])
 _WINDOW = np.dtype([("w", "<i8"), ("g", "<i8"), ("d", "<i8"), ("second", "<i8"), ("i", "<u4"), ("n", "<u4"), ("rel", "<u4")])
 _FIRST = np.dtype([("w", "<i8"), ("d", "<i8"), ("second", "<i8"), ("i", "<i8")])
@@ -456,6 +458,17 @@ def _hot_matches(docs: DataFrame, hot: DataFrame, size: int, buckets: int) -> Da
     return map_arrow(hits.repartition(many, "bucket"), join_up, "g long, d long, i long, rel long, n long, copies boolean")
 
 
+def _meet(segments: DataFrame, groups: DataFrame) -> DataFrame:
+    """Segments (d, i, g) with what is known of their group g; one group may hold most segments.
+
+    Groups are sent to the segments while they are few (counted), beyond that segments of a group go to SALTS tasks.
+    """
+    if groups.count() <= SMALL:
+        return segments.join(F.broadcast(groups), "g")
+    dealt = segments.withColumn("salt", F.pmod(F.xxhash64("d", "i"), F.lit(SALTS)).cast("int"))
+    return dealt.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
+
+
 def repeated(docs: DataFrame, size: int = 50) -> DataFrame:
     """(d, i, n): words i to i + n of document d stand in windows that an earlier document has."""
     spark = docs.sparkSession
@@ -469,9 +482,10 @@ def repeated(docs: DataFrame, size: int = 50) -> DataFrame:
     hot = wanted.where("hot")
     if not hot.isEmpty():
         found = found.unionByName(stash(_hot_matches(docs, hot, size, buckets), "hot"))
-    copies = cand.where("copy").join(found.where("copies").select("g").distinct(), "g").select("d", "i", "n")
+    copies = _meet(cand.where("copy").select("d", "i", "n", "g"), found.where("copies").select("g").distinct()).select("d", "i", "n")
     own = found.where("not copies")
-    again = cand.where("not lead and not copy").select("d", F.col("i").alias("at"), "g").join(own.select("g", "rel", "n"), "g").select("d", (F.col("at") + F.col("rel")).alias("i"), "n")
+    again = _meet(cand.where("not lead and not copy").select("d", "i", "g"), own.select("g", "rel", F.col("n").alias("many")))
+    again = again.select("d", (F.col("i") + F.col("rel")).alias("i"), F.col("many").alias("n"))
     return own.select("d", "i", "n").unionByName(copies).unionByName(again)
 
 

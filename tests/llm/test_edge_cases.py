@@ -43,3 +43,12 @@ def test_null_and_repeated_ids_and_empty_table(spark, name):
 def test_topk_without_rows(spark):
     df = spark.createDataFrame([(None, [1.0]), (20, None)], "vec_id long, embedding array<float>")
     assert topk.search(df).count() == 0
+
+
+def test_substrings_with_dealt_groups(spark, monkeypatch):
+    """Groups too many to be sent give what sent ones give."""
+    monkeypatch.setattr(substrings, "SMALL", 0)
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    df = spark.createDataFrame([(i, f"{a} own{i}" if i % 2 else b) for i in range(12)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.removed(df, 50).collect()}
+    assert got == {0: 0, 1: 0} | {i: 80 for i in range(2, 12)}
