@@ -113,7 +113,17 @@ def conversation_gates(spark, sf_dir):
     return C.gates(_turns(spark, sf_dir))
 
 
-@query("row_errors")
+_OPENINGS = " OR ".join(f"starts_with(ltrim(lower(t)), '{p}')" for p in C.ARTIFICIAL_PREFIXES)
+_CHECKS = rf"""WITH s AS (SELECT conv_id, role, coalesce(text, '') AS t FROM conversations), e AS (SELECT conv_id, unnest([
+CASE WHEN regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}_.+-])[\p{{L}}\p{{N}}_.+-]{{1,64}}@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}(?:[^\p{{L}}\p{{N}}_]|$)')
+  OR regexp_matches(t, '(?i)(?:тел(?:ефон)?|phone|mobile|call|контакт|звонить|номер)\s*[:#-]?\s*\+?\p{{Nd}}[\p{{Nd}}\s().-]{{8,}}\p{{Nd}}')
+  OR regexp_matches(t, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:api[_ -]?key|access[_ -]?token|client[_ -]?secret|password|пароль|секретный\s+ключ)\s*[:=]\s*[^\s,;]{{8,}}') THEN 'pii_or_secret' END,
+CASE WHEN contains(t, '�') OR contains(t, chr(0)) OR nfc_normalize(t) <> t THEN 'damaged_unicode' END, CASE WHEN regexp_matches(t, '[ÃÐÑ]') THEN 'mojibake' END,
+CASE WHEN role = 'assistant' AND length(t) > 3000 THEN 'long_answer' END, CASE WHEN role = 'assistant' AND ({_OPENINGS}) THEN 'artificial_prefix' END]) AS error FROM s)
+SELECT conv_id, string_agg(DISTINCT error, ',' ORDER BY error) AS errors FROM e WHERE error IS NOT NULL GROUP BY conv_id"""
+
+
+@query("row_errors", _CHECKS)
 def row_errors(spark, sf_dir):
     return C.row_errors(_turns(spark, sf_dir))
 
