@@ -82,7 +82,8 @@ def gates(turns: DataFrame) -> DataFrame:
     Gates that look at one conversation alone come first as expressions.  The others depend on what was accepted
     before: a prompt that was accepted eight times, an equal conversation, an answer that was seen.  Only
     conversations that share a prompt or answer with another can be touched by them; each connected
-    component of such conversations is gone through in order, all components in parallel.
+    component of such conversations is gone through in order, all components in parallel.  Equal conversations
+    after the first, and those that fail alone, are never accepted and take no part in that.
     """
     keyed = stash(_keyed(turns), "keyed")
     per = keyed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "key", "text"))).alias("m"))
@@ -96,7 +97,9 @@ def gates(turns: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct("answers")) < F.size("answers"), "repeated_turn_in_conversation")
     )
     judged = stash(per.withColumn("alone", alone).select("conv_id", "alone", "prompts", "answers", "conv_key"), "gates")
-    open_ = judged.where("alone IS NULL OR alone NOT IN ('invalid_turn_order')")
+    #: Only these can be accepted: the first of equal conversations, if it passes alone.  All others see their prompts' caps afterwards.
+    firsts = judged.where("alone IS NULL").groupBy("conv_key").agg(F.min("conv_id").alias("conv_id")).select("conv_id")
+    open_ = stash(judged.join(firsts, "conv_id", "left_semi"), "open")
     hashed = lambda c, kind: F.transform(F.array_distinct(c), lambda k: F.xxhash64(F.lit(kind), k))
     names = open_.select("conv_id", F.explode(F.concat(hashed("prompts", "p"), hashed("answers", "a"))).alias("name"))
     linked = components(names, "conv_id", "name").withColumnRenamed("least", "comp")
@@ -104,19 +107,17 @@ def gates(turns: DataFrame) -> DataFrame:
     def walk(batch):
         import pandas as pd
 
-        counts, seen, known, out = {}, set(), set(), []
+        counts, seen, out = {}, set(), []
         for r in batch.sort_values("conv_id").itertuples():
-            why = r.alone
-            prompts, answers = list(r.prompts), list(r.answers)
-            if any(not k or counts.get(k, 0) >= PROMPT_CAP for k in prompts):
+            prompts, answers, why = list(r.prompts), list(r.answers), None
+            if any(counts.get(k, 0) >= PROMPT_CAP for k in prompts):
                 why = "repeated_user_prompt_cap"
-            elif why is None or why != why:
-                why = "duplicate_conversation" if r.conv_key in known else "duplicate_assistant_response" if seen.intersection(answers) else None
-                if why is None:
-                    known.add(r.conv_key)
-                    seen.update(answers)
-                    for k in prompts:
-                        counts[k] = counts.get(k, 0) + 1
+            elif seen.intersection(answers):
+                why = "duplicate_assistant_response"
+            else:
+                seen.update(answers)
+                for k in prompts:
+                    counts[k] = counts.get(k, 0) + 1
             out.append((r.conv_id, why))
         return pd.DataFrame(out, columns=["conv_id", "reason"])
 
@@ -124,8 +125,18 @@ def gates(turns: DataFrame) -> DataFrame:
     several = linked.join(sizes, "comp", "left_semi")
     ship(turns.sparkSession)
     walked = several.join(open_, "conv_id").groupBy("comp").applyInPandas(walk, "conv_id long, reason string")
-    rest = judged.join(several, "conv_id", "left_anti").select("conv_id", F.col("alone").alias("reason"))
-    return rest.unionByName(walked)
+    alone_ = open_.join(several, "conv_id", "left_anti").select("conv_id", F.lit(None).cast("string").alias("reason"))
+    decided = stash(alone_.unionByName(walked), "decided")
+    #: Where a prompt was accepted for the eighth time; few rows have a prompt accepted, whoever asks it.
+    accepted = open_.join(decided.where("reason IS NULL"), "conv_id").select("conv_id", F.explode("prompts").alias("k")).groupBy("k", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    reached = accepted.withColumn("so_far", F.sum("n").over(Window.partitionBy("k").orderBy("conv_id"))).where(F.col("so_far") >= PROMPT_CAP).groupBy("k").agg(F.min("conv_id").alias("full"))
+    others = judged.join(decided, "conv_id", "left_anti")
+    asked = others.where("alone IS NULL OR alone != 'invalid_turn_order'").select("conv_id", F.explode("prompts").alias("k"))
+    capped = asked.join(reached, "k").where("full < conv_id").select("conv_id").distinct().withColumn("capped", F.lit(True))
+    leaders = open_.select("conv_key", "conv_id").join(decided, "conv_id").select("conv_key", F.coalesce("reason", F.lit("duplicate_conversation")).alias("led"))
+    late = others.join(capped, "conv_id", "left").join(leaders, "conv_key", "left")
+    why = F.when(F.col("capped"), "repeated_user_prompt_cap").otherwise(F.coalesce("alone", "led"))
+    return decided.unionByName(late.select("conv_id", why.alias("reason")))
 
 
 def components(names: DataFrame, node: str, name: str) -> DataFrame:

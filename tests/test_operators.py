@@ -161,7 +161,7 @@ def gate_by_gate(convs):
 def test_gates_equal_sequential_rule(spark):
     rng = np.random.default_rng(5)
     convs = []
-    for i in range(150):
+    for i in range(220):
         m = []
         for _ in range(int(rng.integers(1, 3))):
             m += [("user", f"P{rng.integers(0, 6)}"), ("assistant", f"A{rng.integers(0, 90)}")]
@@ -169,7 +169,7 @@ def test_gates_equal_sequential_rule(spark):
             m = m[:-1]
         if rng.random() < 0.1:
             m[0] = ("user", ["", "mail me at a.b@example.org"][int(rng.integers(0, 2))])
-        convs.append((i, m))
+        convs.append((i, list(convs[int(rng.integers(0, i))][1]) if i and rng.random() < 0.25 else m))
     rows = [(i, n, r, t) for i, m in convs for n, (r, t) in enumerate(m)]
     got = C.gates(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert {r.conv_id: r.reason for r in got.collect()} == gate_by_gate(convs)
