@@ -24,13 +24,13 @@ def words(text: Column) -> Column:
 def language(text: Column) -> Column:
     """ru from a quarter of Cyrillic letters on, en from four fifths of a-z on, else other."""
     low = F.lower(text)
-    cyr = F.when(text.rlike("[Ѐ-ӿ]"), count_of(text, "".join(map(chr, range(0x400, 0x500))))).otherwise(0)
-    return language_of(cyr, count_of(low, "abcdefghijklmnopqrstuvwxyz"))
+    cyr = F.when(text.rlike("[Ѐ-ӿ]"), count_of(text, "[Ѐ-ӿ]")).otherwise(0)
+    return language_of(cyr, count_of(low, "[a-z]"))
 
 
 def count_of(text: Column, signs: str) -> Column:
-    """How many characters of a text are among `signs`."""
-    return F.length(text) - F.length(F.translate(text, signs, ""))
+    """How many characters of a text are of a class."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{signs}+", ""))
 
 
 def language_of(cyr: Column, lat: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,8 +32,8 @@ BOILERPLATE = (
     r"поделиться|все права защищены|all rights reserved|subscribe to our newsletter)\b.*$"
 )
 _PHRASES = BOILERPLATE[BOILERPLATE.index("(?:") + 3 : BOILERPLATE.index(")\\b")].split("|")
-#: What a document must hold for its normal form to need more than blanks and line ends.
-NEEDS_PYTHON = r"[^\x00-\x7F]|<[a-zA-Z/]|&|(?i:all rights reserved|subscribe to our newsletter|project gutenberg ebook)"
+#: ASCII that a document must hold for its normal form to need more than blanks and line ends (the phrases in any case).
+SIGNS, FRAMES = ("<", "&"), ("all rights reserved", "subscribe to our newsletter", "project gutenberg ebook")
 #: White space of ASCII as Python counts it.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
@@ -88,7 +89,7 @@ def folded_text(text: str | None) -> str | None:
 
 
 def normal_document(text: str | None) -> str | None:
-    """The whole normalisation of a document; the native path gives the same where NEEDS_PYTHON doesn't hold."""
+    """The whole normalisation of a document; the native path gives the same where `_needs_python` doesn't hold."""
     if text is None:
         return None
     text = visible_text(nfc_text(text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")))
@@ -121,6 +122,16 @@ def _where(needed: Column, python, native: Column, text: Column) -> Column:
     return F.when(needed, python(F.when(needed, text))).otherwise(native)
 
 
+def _foreign(text: Column) -> Column:
+    """Whether a text holds anything but ASCII."""
+    return F.octet_length(text) != F.length(text)
+
+
+def _needs_python(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(Column.__or__, [*(text.contains(x) for x in SIGNS), *(low.contains(x) for x in FRAMES)], _foreign(text))
+
+
 def strip_html(text: Column) -> Column:
     """Visible text of an HTML column; texts without tags and references stay in the JVM."""
     return _where(text.rlike("<[a-zA-Z/]|&"), _visible, text, text)
@@ -128,12 +139,12 @@ def strip_html(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Normal form C of a text column; ASCII stays in the JVM."""
-    return _where(text.rlike(r"[^\x00-\x7F]"), _nfc, text, text)
+    return _where(_foreign(text), _nfc, text, text)
 
 
 def folded(text: Column) -> Column:
     """NFKC and case folding; ASCII stays in the JVM."""
-    return _where(text.rlike(r"[^\x00-\x7F]"), _folded, F.lower(text), text)
+    return _where(_foreign(text), _folded, F.lower(text), text)
 
 
 def dedup_key(text: Column) -> Column:
@@ -146,4 +157,4 @@ def normalize_text(text: Column) -> Column:
     lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x0b\x0c\x1c-\x1e]", "\n")
     ends = F.regexp_replace(lines, r"[ \t\x1f]+(?=\n|\z)", "")
     native = F.btrim(F.regexp_replace(ends, "\n{3,}", "\n\n"), F.lit(BLANKS))
-    return _where(text.rlike(NEEDS_PYTHON), _document, native, text)
+    return _where(_needs_python(text), _document, native, text)
