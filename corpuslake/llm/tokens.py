@@ -16,7 +16,7 @@ import pyarrow as pa
 from .common import CHUNK_BYTES, text_chunks
 
 #: Pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: White space besides blank and line end, and NUL, which marks the piece that begins a text.
 _ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\x00"
 #: Python takes these for white space, the tokenizers don't.
