@@ -119,14 +119,30 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def _fit(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Logistic regression by Newton steps; class weights bring the sample back to the share of class 1."""
+    """Logistic regression by Newton steps; class weights bring the sample back to the share of class 1.
+
+    Where the classes are nearly apart, whole steps can run away from the least loss, so a step is halved until the loss falls.
+    """
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     a, share = _inputs(model, x), y.mean()
     weight = np.where(y == 1, model.prior / share, (1 - model.prior) / (1 - share))
+
+    def loss(w: np.ndarray) -> float:
+        return weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ w)) + 0.05 * w @ w
+
     w = np.zeros(a.shape[1])
-    for _ in range(40):
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w)), a.T @ (weight * (p - y)) + 0.1 * w)
+        slope = a.T @ (weight * (p - y)) + 0.1 * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w)), slope)
+        fall, part = slope @ step, 1.0
+        while part > 1e-9 and loss(w - part * step) > now - 1e-4 * part * fall:
+            part /= 2
+        if fall < 1e-10 or part <= 1e-9:
+            break
+        w = w - part * step
+        now = loss(w)
     model.weights = w
 
 
