@@ -16,7 +16,7 @@ line end the text), each from the longest context that the tree retains, at most
   distinct grams back from the buckets.
 
 The base score needs the count of every word.  The most frequent words (at most HEAD of them) are sent
-to executors; the others meet their counts in buckets by hash, and the sums go back to their documents.
+to executors; the others meet their counts in buckets by hash, and their counts go back to their documents.
 Words are named by 64-bit hashes.
 
 Cases: null and empty texts are the end alone; without training texts N and V are 0 and the tree is its
@@ -51,7 +51,8 @@ STEP_BITS = 19
 END = np.uint64(0x5851F42D4C957F2D)
 _PAD = b"\n" * DEPTH
 _PAIR = np.dtype([("k", "<u8"), ("n", "<u8")])
-_TAIL = np.dtype([("k", "<u8"), ("d", "<u4"), ("n", "<u4")])
+_TAIL = np.dtype([("k", "<u8"), ("d", "<u4")])
+_SEEN = np.dtype([("k", "<u4"), ("n", "<u8")])
 _SUMS = np.dtype([("known", "<i8"), ("log", "<f8")])
 
 
@@ -119,7 +120,7 @@ def _by_bucket(pairs: np.ndarray, bucket: np.ndarray):
     o = np.argsort(bucket, kind="stable")
     pairs, bucket = pairs[o], bucket[o]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    return bucket[at].astype(np.int32) if len(at) else np.zeros(0, np.int32), [x.tobytes() for x in np.split(pairs, at[1:])] if len(at) else []
+    return bucket[at].astype(np.int32) if len(at) else np.zeros(0, np.int32), [_pack(x) for x in np.split(pairs, at[1:])] if len(at) else []
 
 
 def _count(train: DataFrame, buckets: int) -> DataFrame:
@@ -140,7 +141,7 @@ def _gather(batches):
         for b, d in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
             held.setdefault(b, []).append(d)
     for b, parts in held.items():
-        x = np.frombuffer(b"".join(parts), dtype=_PAIR)
+        x = np.concatenate([_unpack(d, _PAIR) for d in parts])
         parts.clear()
         yield b, _sum_pairs(x["k"], x["n"])
 
@@ -151,7 +152,7 @@ def _words(counted: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for b, p in _gather(batches):
             at_least = [int((p["n"] >= (1 << i)).sum()) for i in range(48)]
-            cols = ([b], [p.tobytes()], [len(p)], [int(p["n"].sum())], [at_least])
+            cols = ([b], [_pack(p)], [len(p)], [int(p["n"].sum())], [at_least])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["bucket", "data", "v", "n", "at_least"])
 
     return map_arrow(counted.repartition(buckets, "bucket"), run, "bucket int, data binary, v long, n long, at_least array<long>")
@@ -175,9 +176,9 @@ def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_names[at] == names
 
 
-def _squeeze(*parts: np.ndarray) -> bytes:
+def _squeeze(*parts: np.ndarray, level: int = 3) -> bytes:
     """Arrays of one length, compressed: all first bytes of the items, then all second bytes, and so on."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in parts))
 
 
 def _expand(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -186,6 +187,22 @@ def _expand(data: bytes, *kinds: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(y.T).view(k).ravel() for y, k in zip(np.split(x, np.cumsum(sizes)[:-1]), kinds, strict=True)]
 
 
+def _pack(rec: np.ndarray) -> bytes:
+    """Records, compressed; their k travel as steps, which are small where they are sorted."""
+    return _squeeze(np.diff(rec["k"], prepend=rec["k"].dtype.type(0)), *(np.ascontiguousarray(rec[c]) for c in rec.dtype.names[1:])) if len(rec) else b""
+
+
+def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=kind)
+    steps, *others = _expand(data, *(kind[c] for c in kind.names))
+    out = np.empty(len(steps), dtype=kind)
+    out["k"] = np.cumsum(steps, dtype=steps.dtype)
+    for c, x in zip(kind.names[1:], others, strict=True):
+        out[c] = x
+    return out
+
+
 def _fixed(x: np.ndarray) -> np.ndarray:
     """Logarithms (0 or less) in steps of 2**-STEP_BITS; the highest of the four bytes is hardly ever used, so it travels for nothing."""
     return np.rint(x * -float(1 << STEP_BITS)).astype(np.uint32)
@@ -270,13 +287,13 @@ def predict(top: Upper, pairs: np.ndarray) -> tuple[np.ndarray, list[Level]]:
     return out / np.log(10), levels[UPPER + 1 :]
 
 
-def _scan(docs: DataFrame, learn: Column, head: np.ndarray, buckets: int) -> DataFrame:
-    """Per chunk of documents: itself, and the rarer words by bucket; per task: the short contexts."""
+def _scan(docs: DataFrame, learn: Column) -> DataFrame:
+    """Per chunk of documents: itself; per task: the short contexts."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        hasher, part, short = WordHasher(SPACES, lower=True), TaskContext.get().partitionId(), _Counts()
+        part, short = TaskContext.get().partitionId(), _Counts()
 
         def rows(kind, no, bucket, data, *chunk):
             m = len(data)
@@ -284,24 +301,11 @@ def _scan(docs: DataFrame, learn: Column, head: np.ndarray, buckets: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=_SCAN_NAMES)
 
         for no, (batch, texts) in enumerate(text_chunks(batches, GRAM_BYTES)):
-            h, first, *_ = hasher(texts)
-            doc = np.repeat(np.arange(len(texts)), np.diff(first))
-            h, doc = np.concatenate((h, np.full(len(texts), END))), np.concatenate((doc, np.arange(len(texts))))
-            at, known = _find(head["k"], h)
-            sums = np.zeros(len(texts), dtype=_SUMS)
-            sums["known"] = np.bincount(doc[known], minlength=len(texts))
-            if len(head):
-                sums["log"] = np.bincount(doc[known], weights=np.log10(head["n"][at[known]] + 1.0), minlength=len(texts))
-            n = np.diff(first) + 1
-            rare = np.zeros(int((~known).sum()), dtype=_TAIL)
-            rare["k"], rare["d"], rare["n"] = h[~known], doc[~known], 1
-            del h, doc, at, known
-            b, data = _by_bucket(rare, (rare["k"] % np.uint64(buckets)).astype(np.int64))
-            yield rows("word", no, b, data)
             s, scored, ends = _stream(texts)
             sizes = np.diff(ends, prepend=0)
             learn = np.array(batch.column("learn").to_pylist(), dtype=bool)
-            yield rows("chunk", no, [-2], [sums.tobytes()], [batch.column("doc_id").to_pylist()], [n.tolist()], [sizes.tolist()], [learn.tolist()], [_squeeze(s)])
+            n = np.add.reduceat((s == 32).astype(np.int64), ends - sizes) + 1  # a blank ends each word
+            yield rows("chunk", no, [-1], [None], [batch.column("doc_id").to_pylist()], [n.tolist()], [sizes.tolist()], [learn.tolist()], [_squeeze(s, level=7)])
             g = _grams(s)[scored & np.repeat(learn, sizes)]
             mine, n = np.unique(_low(g, UPPER + 1), return_counts=True)
             del s, scored, g
@@ -323,6 +327,34 @@ _SCAN_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int6
 _SCAN = "kind string, part int, no int, bucket int, ids array<long>, tokens array<long>, sizes array<long>, learn array<boolean>, stream binary, data binary"
 
 
+def _rare(scanned: DataFrame, head: np.ndarray, buckets: int) -> DataFrame:
+    """Per chunk: the rarer words by bucket, and (`own`) the sums over the others."""
+
+    def run(batches):
+        hasher = WordHasher(SPACES)
+        for batch in batches:
+            for part, no, sizes, stream in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "sizes", "stream")), strict=True):
+                s, ends = _expand(stream, np.uint8)[0].tobytes(), np.cumsum(np.array(sizes, dtype=np.int64)).tolist()
+                texts = [s[b - size + DEPTH : b] for b, size in zip(ends, sizes, strict=True)]
+                h, first, *_ = hasher(texts)
+                doc = np.repeat(np.arange(len(texts)), np.diff(first))
+                h, doc = np.concatenate((h, np.full(len(texts), END))), np.concatenate((doc, np.arange(len(texts))))
+                at, known = _find(head["k"], h)
+                sums = np.zeros(len(texts), dtype=_SUMS)
+                sums["known"] = np.bincount(doc[known], minlength=len(texts))
+                if len(head):
+                    sums["log"] = np.bincount(doc[known], weights=np.log10(head["n"][at[known]] + 1.0), minlength=len(texts))
+                rare = np.zeros(int((~known).sum()), dtype=_TAIL)
+                rare["k"], rare["d"] = h[~known], doc[~known]
+                rare = rare[np.argsort(rare["k"], kind="stable")]
+                del h, doc, at, known
+                b, data = _by_bucket(rare, (rare["k"] % np.uint64(buckets)).astype(np.int64))
+                b, data, m = [(31 * part + no) % buckets, *b.tolist()], [sums.tobytes(), *data], len(data) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([no] * m, pa.int32()), pa.array(b, pa.int32()), pa.array([i == 0 for i in range(m)]), pa.array(data, pa.binary())], names=["part", "no", "bucket", "own", "data"])
+
+    return map_arrow(scanned.where("kind = 'chunk'").select("part", "no", "sizes", "stream"), run, "part int, no int, bucket int, own boolean, data binary")
+
+
 def _by_gram(scanned: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket: the distinct grams with their counts in training texts."""
 
@@ -341,7 +373,7 @@ def _by_gram(scanned: DataFrame, buckets: int) -> DataFrame:
                 b = _bucket_of(names, buckets)
                 o = np.argsort(b, kind="stable")
                 cut = np.concatenate((np.flatnonzero(np.diff(b[o], prepend=-1)), [len(o)]))
-                data = [_squeeze(names[o[x:y]], counts[o[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                data = [_squeeze(names[o[x:y]], counts[o[x:y]], level=6) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array([no] * len(data), pa.int32()), pa.array(b[o[cut[:-1]]], pa.int32()), pa.array(data, pa.binary())], names=["part", "no", "bucket", "data"])
 
     chunks = scanned.where("kind = 'chunk'").select("part", "no", "sizes", "learn", "stream")
@@ -373,6 +405,7 @@ def _answer(scanned: DataFrame, top: Upper, buckets: int) -> DataFrame:
             names, back = np.unique(g, return_inverse=True)
             pairs = np.empty(len(names), dtype=_PAIR)
             pairs["k"], pairs["n"] = names, np.bincount(back, weights=n, minlength=len(names)).astype(np.uint64)
+            del g, n, names
             log, levels = predict(top, pairs)
             found = _fixed(log)[back]
             data = [_squeeze(x) for x in np.split(found, np.cumsum(size)[:-1])]
@@ -393,33 +426,34 @@ def _answer(scanned: DataFrame, top: Upper, buckets: int) -> DataFrame:
 
 
 def _look_up(rare: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """Sums over the rarer words, per chunk and bucket."""
-    both = words.select(F.lit(-1).alias("part"), F.lit(-1).alias("no"), "bucket", "data").unionByName(rare)
+    """Counts of the rarer words with their documents, per chunk and bucket; words without a count are left out, sums pass."""
+    both = words.select(F.lit(-1).alias("part"), F.lit(-1).alias("no"), "bucket", F.lit(False).alias("own"), "data").unionByName(rare)
 
     def run(batches):
         bucket, counts = None, np.zeros(0, dtype=_PAIR)
         for batch in batches:
-            for part, no, b, data in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "bucket", "data")), strict=True):
+            for part, no, b, own, data in zip(*(batch.column(c).to_pylist() for c in ("part", "no", "bucket", "own", "data")), strict=True):
                 if b != bucket:
                     bucket, counts = b, np.zeros(0, dtype=_PAIR)
                 if part < 0:
-                    counts = np.frombuffer(data, dtype=_PAIR)
+                    counts = _unpack(data, _PAIR)
+                    continue
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([True]), pa.array([data], pa.binary())], names=["part", "no", "own", "data"])
                     continue
-                x = np.frombuffer(data, dtype=_TAIL)
-                at = np.minimum(np.searchsorted(counts["k"], x["k"]), max(0, len(counts) - 1))
-                ok = counts["k"][at] == x["k"] if len(counts) else np.zeros(len(x), dtype=bool)
-                size = int(x["d"].max()) + 1
-                sums = np.zeros(size, dtype=_SUMS)
-                if len(counts):
-                    sums["known"] = np.bincount(x["d"][ok], minlength=size)
-                    sums["log"] = np.bincount(x["d"][ok], weights=np.log10(counts["n"][at[ok]] + 1.0), minlength=size)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "no", "data"])
+                x = _unpack(data, _TAIL)
+                at, ok = _find(counts["k"], x["k"])
+                if ok.any():
+                    seen = np.empty(int(ok.sum()), dtype=_SEEN)
+                    o = np.argsort(x["d"][ok], kind="stable")
+                    seen["k"], seen["n"] = x["d"][ok][o], counts["n"][at[ok]][o]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([False]), pa.array([_pack(seen)], pa.binary())], names=["part", "no", "own", "data"])
 
-    return map_arrow(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "no"), run, "part int, no int, data binary")
+    return map_arrow(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "no"), run, "part int, no int, own boolean, data binary")
 
 
 def _learn(docs: DataFrame, learn: Column):
-    """(words, their totals, scanned documents, answers): what `score` puts together and `contexts` counts."""
+    """(buckets, words, their totals, the most frequent, scanned documents, short contexts, answers): what `score` puts together and `contexts` counts."""
     spark = docs.sparkSession
     buckets = max(32, partitions(spark))
     words = stash(_words(_count(docs.where(learn), buckets), buckets), "words")
@@ -429,14 +463,14 @@ def _learn(docs: DataFrame, learn: Column):
     def frequent(batches):
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                p = np.frombuffer(data, dtype=_PAIR)
+                p = _unpack(data, _PAIR)
                 yield pa.RecordBatch.from_arrays([pa.array([p[p["n"] >= enough].tobytes()], pa.binary())], names=["data"])
 
     got = map_arrow(words.select("data"), frequent, "data binary").collect()
     head = np.sort(np.frombuffer(b"".join(r["data"] for r in got), dtype=_PAIR), order="k")
-    scanned = stash(_scan(docs, learn, head, buckets), "scan")
+    scanned = stash(_scan(docs, learn), "scan")
     top = upper(_short(scanned))
-    return buckets, words, total, scanned, top, _answer(scanned, top, buckets)
+    return buckets, words, total, head, scanned, top, _answer(scanned, top, buckets)
 
 
 def contexts(docs: DataFrame, learn: Column) -> list[int]:
@@ -451,11 +485,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     Rows: doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
-    buckets, words, total, scanned, _, answers = _learn(docs, learn)
-    rare = _look_up(scanned.where("kind = 'word'").select("part", "no", "bucket", "data"), words, buckets)
-    chunks = scanned.where("kind = 'chunk'").select("part", "no", "bucket", "ids", "tokens", "sizes", "stream", "data")
+    buckets, words, total, head, scanned, _, answers = _learn(docs, learn)
+    rare = _look_up(_rare(scanned, head, buckets), words, buckets)
+    chunks = scanned.where("kind = 'chunk'").select("part", "no", F.lit(-3).alias("bucket"), "ids", "tokens", "sizes", "stream", "data")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("tokens", "array<long>"), ("sizes", "array<long>"), ("stream", "binary"))]
-    both = chunks.unionByName(rare.select("part", "no", F.lit(-1).alias("bucket"), *none, "data")).unionByName(answers.select("part", "no", "bucket", *none, "data"))
+    both = chunks.unionByName(rare.select("part", "no", F.when(F.col("own"), -2).otherwise(-1).alias("bucket"), *none, "data")).unionByName(answers.select("part", "no", "bucket", *none, "data"))
     floor = float(np.log10(total["n"] + total["v"] + 1))
 
     def finish(batches):
@@ -484,12 +518,14 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 if bucket >= 0:
                     logs.append(data)
                     continue
-                x = np.frombuffer(data, dtype=_SUMS)
-                if ids is not None:  # sorted first
-                    own, sums = (ids, tokens, sizes, stream), x.copy()
+                if bucket == -3:
+                    own = (ids, tokens, sizes, stream)
+                elif bucket == -2:
+                    sums = np.frombuffer(data, dtype=_SUMS).copy()
                 else:
-                    sums["known"][: len(x)] += x["known"]
-                    sums["log"][: len(x)] += x["log"]
+                    x = _unpack(data, _SEEN)
+                    sums["known"] += np.bincount(x["k"], minlength=len(sums))
+                    sums["log"] += np.bincount(x["k"], weights=np.log10(x["n"] + 1.0), minlength=len(sums))
         yield from flush()
 
     done = map_arrow(both.repartition("part", "no").sortWithinPartitions("part", "no", "bucket"), finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
