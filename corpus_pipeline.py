@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as
-the next stage's docs.  Stages keep the columns of documents until the last one.
+the next stage's docs.  Stages keep the columns of documents until the last one.  Those that
+use Python workers bound the Arrow batches of the session: executors keep what large ones have taken through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import stash, table
+from corpuslake.llm.common import bound_batches, stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score are rejected.
@@ -20,6 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Compression classifier: documents that it rejects go; learned from all labels of documents it is given."""
     from corpuslake.llm.compression import QUALITY, keep, train
 
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return keep(docs.select(*COLUMNS), train(docs, labels, QUALITY), LEAST_QUALITY)
 
@@ -28,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """N-gram Jaccard join at 0.75 on five words: the document of least id in each component stays."""
     from corpuslake.llm.jaccard import near_duplicates as keep
 
+    bound_batches(spark)
     return keep(docs.select(*COLUMNS))
 
 
@@ -35,6 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents in which ten consecutive words of a benchmark item occur go."""
     from corpuslake.llm.decontamination import decontaminate
 
+    bound_batches(spark)
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), size=10)
 
 
@@ -50,6 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from corpuslake.llm.packing import pack
     from corpuslake.llm.tokens import tokenizer_path
 
+    bound_batches(spark)
     return pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2, keep_ids=True)
 
 

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions, shared_dir, ship, stash, table
+from ..session import bound_batches, partitions, shared_dir, ship, stash, table
 
-__all__ = ["partitions", "shared_dir", "ship", "stash", "table"]
+__all__ = ["bound_batches", "partitions", "shared_dir", "ship", "stash", "table"]
 
 #: Bytes of text that a kernel takes at once (a longer document is taken alone).
 CHUNK_BYTES = 2 << 20

@@ -23,6 +23,17 @@ def session(name: str = "corpuslake", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | conf).getOrCreate()
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; both sides hold several batches of each task at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are small, unless it has a bound of its own."""
+    name, limit = BATCH_BYTES
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, limit)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
