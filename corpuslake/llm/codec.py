@@ -271,7 +271,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return stash(map_arrow(ordered, run, _FILE), "token-files")
+    return stash(map_arrow(ordered, run, _FILE, remembers=True), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:

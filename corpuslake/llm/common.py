@@ -6,6 +6,8 @@ so that the work for a word is a handful of NumPy operations, never a Python loo
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,32 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
+def release() -> None:
+    """Give back what this process no longer uses; allocators would keep it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def forget() -> None:
+    """Drop the pieces that this worker has remembered for a tokenizer."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None:
+        tokens._open.clear()
+
+
+def map_arrow(df: DataFrame, func, schema: str, remembers: bool = False) -> DataFrame:
+    """`remembers`: the tasks use what a worker remembers of tokenizers; others drop it."""
     ship(df.sparkSession)
-    return df.mapInArrow(func, schema)
+
+    def run(batches):
+        if not remembers:
+            forget()
+        yield from func(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -143,7 +143,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
                 names=["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32", "ids"],
             )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES, remembers=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
