@@ -73,12 +73,55 @@ def _scored(ends: np.ndarray) -> np.ndarray:
     return scored
 
 
+def _windows(s: np.ndarray, kind: str) -> np.ndarray:
+    """The bytes that end at each byte (zeros before the first), read as numbers of that kind."""
+    size = np.dtype(kind).itemsize
+    buf = np.concatenate((np.zeros(size - 1, dtype=np.uint8), s))
+    return np.ndarray(len(s), dtype=kind, buffer=buf, strides=(1,))
+
+
 def _grams(s: np.ndarray) -> np.ndarray:
     """Code of each byte with the DEPTH before it; the byte itself is lowest, the byte before it next."""
-    code = np.zeros(len(s), dtype=np.uint64)
-    for j in range(DEPTH + 1):
-        code[j:] |= s[: len(s) - j].astype(np.uint64) << np.uint64(8 * j)
-    return code
+    return _windows(s, ">u8").astype(np.uint64)
+
+
+def _turned_grams(s: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    """The codes of scored bytes with their own bytes in opposite order: sorted, the predicted byte comes first, then the newest."""
+    return _windows(s, "<u8").astype(np.uint64)[scored]
+
+
+def _ranks(keys: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Rank of each key below `size` among those that occur, and how many do."""
+    there = np.zeros(size, dtype=bool)
+    there[keys] = True
+    rank = np.cumsum(there, dtype=np.uint32) - np.uint32(1)
+    return rank[keys], int(rank[-1]) + 1
+
+
+def _numbered(s: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct turned grams, number of each scored byte's among them).
+
+    A gram is two runs of four bytes, and those are two of two; where the ranks of both runs leave room for the
+    place, all three are sorted as one number, which is far cheaper than sorting places by grams.
+    """
+    g = _turned_grams(s, scored)
+    rank, kinds = _ranks(_windows(s, "<u2"), 1 << 16)
+    if kinds <= 1 << 12 and len(s) > 4:
+        before = np.concatenate((rank[:2], rank[:-2]))
+        rank, kinds = _ranks(rank * np.uint32(kinds) + before, kinds * kinds)
+        bits, place = max(1, (kinds - 1).bit_length()), max(1, len(g).bit_length())
+        if 2 * bits + place <= 64:
+            key = (rank.astype(np.uint64) << np.uint64(bits) | np.concatenate((rank[:4], rank[:-4])))[scored]
+            key <<= np.uint64(place)
+            key |= np.arange(len(g), dtype=np.uint64)
+            key.sort()
+            at = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+            key >>= np.uint64(place)
+            first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
+            back = np.empty(len(g), dtype=np.int64)
+            back[at] = np.cumsum(first) - 1
+            return g[at[first]], back
+    return np.unique(g, return_inverse=True)
 
 
 def _sum_pairs(k: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -213,6 +256,21 @@ def _distinct(names: np.ndarray) -> np.ndarray:
     return names[np.concatenate(([True], names[1:] != names[:-1]))] if len(names) else names
 
 
+def _merged(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams, place of each among them) of parts that are sorted with their bytes turned: a stable sort merges such runs."""
+    turned = g.byteswap()
+    o = np.argsort(turned, kind="stable")
+    turned = turned[o]
+    first = np.concatenate(([True], turned[1:] != turned[:-1])) if len(g) else np.zeros(0, dtype=bool)
+    names = turned[first].byteswap()
+    order = np.argsort(names)
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    back = np.empty(len(g), dtype=np.int64)
+    back[o] = place[np.cumsum(first) - 1]
+    return names[order], back
+
+
 @dataclass
 class Level:
     """The contexts of one length.
@@ -306,8 +364,8 @@ def _scan(docs: DataFrame, learn: Column) -> DataFrame:
             learn = np.array(batch.column("learn").to_pylist(), dtype=bool)
             n = np.add.reduceat((s == 32).astype(np.int64), ends - sizes) + 1  # a blank ends each word
             yield rows("chunk", no, [-1], [None], [batch.column("doc_id").to_pylist()], [n.tolist()], [sizes.tolist()], [learn.tolist()], [_squeeze(s, level=7)])
-            g = _grams(s)[scored & np.repeat(learn, sizes)]
-            mine, n = np.unique(_low(g, UPPER + 1), return_counts=True)
+            g = _windows(s, ">u4").astype(np.uint32)[scored & np.repeat(learn, sizes)]
+            mine, n = np.unique(g & np.uint32((1 << 8 * (UPPER + 1)) - 1), return_counts=True)
             del s, scored, g
             less = np.empty(len(mine), dtype=_PAIR)
             less["k"], less["n"] = mine, n
@@ -364,8 +422,9 @@ def _by_gram(scanned: DataFrame, buckets: int) -> DataFrame:
                 scored = _scored(np.cumsum(np.array(sizes, dtype=np.int64)))
                 own = np.repeat(np.array(learn, dtype=bool), sizes)[scored]
                 #: Sorted by the predicted byte first, then the newest, grams compress best; their buckets keep the order.
-                g = _grams(_expand(stream, np.uint8)[0])[scored].byteswap()
-                names, (mine, n) = _distinct(g), np.unique(g[own], return_counts=True)
+                g = _turned_grams(_expand(stream, np.uint8)[0], scored)
+                mine, n = np.unique(g[own], return_counts=True)
+                names = _distinct(np.concatenate((mine, g[~own])))
                 del g, own, scored
                 counts = np.zeros(len(names), dtype=np.uint32)
                 counts[np.searchsorted(names, mine)] = n
@@ -402,7 +461,7 @@ def _answer(scanned: DataFrame, top: Upper, buckets: int) -> DataFrame:
             size = [len(x) for x, _ in raw]
             g, n = (np.concatenate(x) for x in zip(*raw, strict=True))
             raw.clear()
-            names, back = np.unique(g, return_inverse=True)
+            names, back = _merged(g)
             pairs = np.empty(len(names), dtype=_PAIR)
             pairs["k"], pairs["n"] = names, np.bincount(back, weights=n, minlength=len(names)).astype(np.uint64)
             del g, n, names
@@ -501,7 +560,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 tokens = np.array(tokens, dtype=np.int64)
                 s, ends = _expand(stream, np.uint8)[0], np.cumsum(np.array(sizes, dtype=np.int64))
                 scored = _scored(ends)
-                names, back = np.unique(_grams(s)[scored].byteswap(), return_inverse=True)
+                names, back = _numbered(s, scored)
                 log = np.empty(len(names))
                 log[np.argsort(_bucket_of(names.byteswap(), buckets), kind="stable")] = np.concatenate([_expand(x, np.uint32)[0] for x in logs]) / -float(1 << STEP_BITS)
                 along = np.concatenate(([0.0], np.cumsum(log[back], dtype=np.float64)))
