@@ -49,7 +49,7 @@ _NONE = TOP_ID + 1
 #: Confidence of an entry whose id came (by the one before) or didn't come (the last).
 _SURER = np.array([1, 2, 3, 3, 0], np.uint32)
 #: Steps whose arrays are computed together.
-_STEPS = 64
+_STEPS = 16
 
 
 def _key(ids: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seq = encoder(tokenizer, False).many, TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, False, keeps=True).many, TaskContext.get().partitionId(), 0
         ids, runs, size = [], [], 0
 
         def flush():

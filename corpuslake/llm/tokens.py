@@ -7,6 +7,7 @@ The pieces of many texts are looked up at once, new ones are encoded together, a
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -45,14 +46,16 @@ class _Numbers(dict):
 
 class PieceEncoder:
     """`spaces_count`: a single blank before a word belongs to the word's piece (byte-level BPE);
-    otherwise white space is dropped and every word is a piece."""
+    otherwise white space is dropped and every word is a piece.
+    `keeps`: when too many pieces are remembered, those met again stay, and a known word gives its ids to the same
+    word with marks at its end."""
 
-    def __init__(self, path: str, spaces_count: bool) -> None:
+    def __init__(self, path: str, spaces_count: bool, keeps: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaces_count = spaces_count
+        self.spaces_count, self.keeps = spaces_count, keeps
         #: Tokens that begin a word with its blank, or end a word.
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -65,7 +68,26 @@ class PieceEncoder:
         self.numbers = _Numbers()
         self.marks: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.start, self.size, self.uses = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+
+    def _thin(self) -> None:
+        """Forget the pieces met but once since the last time; all, if that leaves too many."""
+        n = len(self.numbers)
+        often = self.uses[:n] > 1
+        stay = np.flatnonzero(often)
+        if not self.keeps or len(stay) > REMEMBERED // 2:
+            return self._forget()
+        pieces = list(itertools.compress(self.numbers, often.tolist()))
+        start, size, flat, marks = self.start[stay], self.size[stay], self.flat, self.marks
+        self._forget()
+        self.marks = marks
+        self.numbers.update(zip(pieces, range(len(pieces)), strict=True))
+        ends = np.cumsum(size)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.flat = self._room(self.flat, self.used)
+        self.flat[: self.used] = flat[np.repeat(start - ends + size, size) + np.arange(self.used)]
+        self.start, self.size, self.uses = (self._room(a, len(pieces)) for a in (self.start, self.size, self.uses))
+        self.start[: len(pieces)], self.size[: len(pieces)] = ends - size, size
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -96,15 +118,20 @@ class PieceEncoder:
         if not new:
             return
         stems: dict[str, None] = {}
+        known: dict[str, list[int]] = {}
         ended, odd = [], []
+        first = len(self.numbers) - len(new)
         for piece in new:
             stem = piece.rstrip(".,;:!?")
             if stem.isalpha():  # neither a first piece nor one after a line end
-                stems[stem] = None
+                if self.keeps and stem not in known and (at := self.numbers.get(stem, first)) < first:
+                    known[stem] = self.flat[self.start[at] : self.start[at] + self.size[at]].tolist()
+                if stem not in known:
+                    stems[stem] = None
                 ended.append((piece, stem))
             else:
                 odd.append(piece)
-        ids = dict(zip(stems, self._words(list(stems)), strict=True))
+        ids = known | dict(zip(stems, self._words(list(stems)), strict=True))
         found = {p: ids[s] if len(p) == len(s) else ids[s] + self._mark(p[len(s) :]) for p, s in ended}
         if self.spaces_count:
             texts = [p[1:] if p[:1] == _FIRST else p if p[:1] == "\n" else " " + p for p in odd]
@@ -113,10 +140,10 @@ class PieceEncoder:
         found.update(zip(odd, self._each(texts), strict=True))
         lists = [found[p] for p in new]
         many = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        total, first = int(many.sum()), len(self.numbers) - len(new)
+        total = int(many.sum())
         self.flat = self._room(self.flat, self.used + total)
-        self.start, self.size = self._room(self.start, len(self.numbers)), self._room(self.size, len(self.numbers))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=total)
+        self.start, self.size, self.uses = (self._room(a, len(self.numbers)) for a in (self.start, self.size, self.uses))
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.uint32, count=total)
         self.size[first : first + len(new)] = many
         self.start[first : first + len(new)] = self.used + np.cumsum(many) - many
         self.used += total
@@ -128,7 +155,7 @@ class PieceEncoder:
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.numbers) > REMEMBERED:
-            self._forget()
+            self._thin()
         number, parts = self.numbers.__getitem__, []
         for text in texts:
             pieces = self._cut(text) if text else []
@@ -136,6 +163,8 @@ class PieceEncoder:
         self._learn()
         own = [p for p in parts if p is not None]
         at = np.concatenate([np.zeros(0, dtype=np.int64), *own])
+        if self.keeps:
+            self.uses[: len(self.numbers)] += np.bincount(at, minlength=len(self.numbers))
         size = self.size[at]
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
@@ -181,7 +210,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
         yield chunk, [t.decode() for t in texts]
 
 
-def encoder(path: str, spaces_count: bool) -> PieceEncoder:
+def encoder(path: str, spaces_count: bool, keeps: bool = False) -> PieceEncoder:
     if path not in _open:
-        _open[path] = PieceEncoder(path, spaces_count)
+        _open[path] = PieceEncoder(path, spaces_count, keeps)
     return _open[path]
