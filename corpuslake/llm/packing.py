@@ -125,8 +125,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     def run(batches):
         from pyspark import TaskContext
 
-        kind = encoder(path, True).id_type
-        encode, part, seen = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        kind = encoder(path, True, keeps=True).id_type
+        encode, part, seen = encoder(path, True, keeps=True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch, texts in text_batches(batches):
             rows: list[list] = [[] for _ in range(8)]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.many(texts), strict=True):
