@@ -10,6 +10,7 @@ import html
 import re
 import unicodedata
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,6 +38,10 @@ SIGNS, FRAMES = ("<", "&"), ("all rights reserved", "subscribe to our newsletter
 #: White space of ASCII as Python counts it.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
+#: A reference that its semicolon ends, and an ampersand that begins none.
+_ENDED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_BARE = re.compile(f"&(?!{_ENDED.pattern[1:]})")
+
 _BOOK_START, _BOOK_END, _BOILERPLATE, _TAG = (re.compile(p) for p in (BOOK_START, BOOK_END, BOILERPLATE, TAG))
 #: What an event does: +1 and -1 change the depth of unseen content, a line end is written.
 _EVENTS: dict[tuple[str, bool], int | str] = {(t, True): 1 for t in UNSEEN} | {(t, False): -1 for t in UNSEEN}
@@ -58,14 +63,34 @@ class _Events(HTMLParser):
         self.seen.append((tag, False))
 
 
-def visible_text(source: str | None) -> str | None:
-    """What a reader of a page sees, with line ends where block tags open and close; references are resolved once more at the end."""
+def _resolved(reference: re.Match[str]) -> str:
+    found = reference[0]
+    return html.unescape(found) if found[1] == "#" or found[1:] in html5 else found
+
+
+def _known(reference: re.Match[str]) -> str:
+    """A reference, escaped if its name isn't one."""
+    found = reference[0]
+    return found if found[1] == "#" or found[1:] in html5 else f"&amp;{found[1:]}"
+
+
+def unescape_ended(text: str) -> str:
+    """Resolve the references that end with a semicolon; others, cut ones say, stay as they are."""
+    return _ENDED.sub(_resolved, text)
+
+
+def visible_text(source: str | None, ended: bool = False) -> str | None:
+    """What a reader of a page sees, with line ends where block tags open and close; references are resolved once more at the end.
+
+    `ended`: only references that end with a semicolon are resolved."""
     if source is None:
         return None
+    unescape = unescape_ended if ended else html.unescape
     if not _TAG.search(source):
-        return html.unescape(source)
+        return unescape(source)
     parser = _Events()
-    parser.feed(source)
+    #: The parser resolves once, whatever follows a name; escaped, what isn't to be resolved is left by it.
+    parser.feed(_BARE.sub("&amp;", _ENDED.sub(_known, source)) if ended else source)
     parser.close()
     depth, out = 0, []
     for event in parser.seen:
@@ -74,7 +99,11 @@ def visible_text(source: str | None) -> str | None:
             depth = max(0, depth + what)
         elif not depth or isinstance(event, tuple):
             out.append(what)
-    return html.unescape("".join(out))
+    return unescape("".join(out))
+
+
+def ended_text(source: str | None) -> str | None:
+    return visible_text(source, ended=True)
 
 
 def nfc_text(text: str | None) -> str | None:
@@ -114,7 +143,7 @@ def _mapped(f):
     return F.pandas_udf(run, StringType())
 
 
-_visible, _nfc, _folded, _document = map(_mapped, (visible_text, nfc_text, folded_text, normal_document))
+_visible, _ended, _nfc, _folded, _document = map(_mapped, (visible_text, ended_text, nfc_text, folded_text, normal_document))
 
 
 def _where(needed: Column, python, native: Column, text: Column) -> Column:
@@ -132,9 +161,11 @@ def _needs_python(text: Column) -> Column:
     return reduce(Column.__or__, [*(text.contains(x) for x in SIGNS), *(low.contains(x) for x in FRAMES)], _foreign(text))
 
 
-def strip_html(text: Column) -> Column:
-    """Visible text of an HTML column; texts without tags and references stay in the JVM."""
-    return _where(text.rlike("<[a-zA-Z/]|&"), _visible, text, text)
+def strip_html(text: Column, ended: bool = False) -> Column:
+    """Visible text of an HTML column; texts without tags and references stay in the JVM.
+
+    `ended`: only references that end with a semicolon are resolved."""
+    return _where(text.rlike("<[a-zA-Z/]|&"), _ended if ended else _visible, text, text)
 
 
 def nfc(text: Column) -> Column:

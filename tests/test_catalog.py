@@ -44,3 +44,14 @@ def test_ngrams_need_enough_words(spark):
 def test_visible_text():
     assert visible_text("<p>a</p><script>x</script>b &amp;lt;") == "\na\nb <"
     assert visible_text(None) is None
+
+
+def test_html_text_of_cut_references(spark, tmp_path):
+    """Titles are cut at a length, also within a reference; SQL resolves those with their semicolon."""
+    pages = ["<h1>a&amp;b &amp</h1>c", "<p>&am</p>&copy 1 &copy; &quo", "<p>&amp;amp; &amp;amp &ampx; &amp;quot</p>", "<a href='?a=1&copy=2'>x</a>&quot;&middot;", "<p>a &amp;&amp;&amp</p>"]
+    spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["html_text"](spark, str(tmp_path)).select("page_id", "text").collect()
+    assert rows(tuple(r) for r in got) == rows(c.sql(catalog.ORACLES["html_text"]).fetchall())
+    assert visible_text("<p>a&amp</p>") == "\na&\n"
