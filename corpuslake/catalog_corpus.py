@@ -80,8 +80,7 @@ def bpe_round_trip(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = _read(spark, sf_dir, "documents").select("doc_id", "text", blocks.encode(F.col("text"), path).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n_tokens"), (blocks.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))).alias("same"))
+    return _read(spark, sf_dir, "documents").select("doc_id", blocks.round_trip(F.col("text"), path).alias("r")).select("doc_id", "r.n_tokens", "r.same")
 
 
 _SCORES = "s AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS token, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings)"

@@ -7,18 +7,23 @@ run in ascending doc_id; the offset of each comes from a two-level prefix sum, s
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructType
 
 from ..functions import text as T
-from ..session import ship
+from ..session import bound_batches, ship
 from .clean import hash_split, prefix_sum
 
 #: Ids of the block format fit 16 bits.
 MOST_IDS = 1 << 16
+#: Bytes of text and ids that a tokenizer takes at once (a longer text is taken alone); what it holds for them is some hundred times as large.
+RUN_BYTES, RUN_IDS = 1 << 18, 1 << 16
 _open: dict = {}
 
 
@@ -47,26 +52,68 @@ def token_id(path: str, token: str) -> int:
     return found
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes add up to `most` at most; a larger row is a run of its own."""
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield start, stop
+        start = stop
+
+
+def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[list[str], list[list[int]]]]:
+    """Runs of texts (null: empty) with their ids."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for start, stop in _runs(sizes, RUN_BYTES):
+        some = [x or "" for x in texts.slice(start, stop - start).to_pylist()]
+        yield some, [e.ids for e in _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
+
+
+def _decoded(ids: list[list[int]], path: str) -> Iterator[str]:
+    for start, stop in _runs(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)), RUN_IDS):
+        yield from _tokenizer(path).decode_batch(ids[start:stop])
+
+
+def _arrow(run, kind: DataType, column: Column) -> Column:
+    from pyspark.sql import SparkSession
+
+    ship(SparkSession.active())
+    bound_batches(SparkSession.active())
+    return F.arrow_udf(run, kind)(column)
+
+
 def encode(text: Column, path: str, bos: int | None = None, eos: int | None = None) -> Column:
     """Token ids of whole texts (null: none), between the ids `bos` and `eos` where given."""
-    from pyspark.sql import SparkSession
 
-    def run(batch: pd.Series) -> pd.Series:
-        got = _tokenizer(path).encode_batch_fast([x or "" for x in batch], add_special_tokens=False)
-        return pd.Series([([] if bos is None else [bos]) + e.ids + ([] if eos is None else [eos]) for e in got])
+    def run(batch: pa.Array) -> pa.Array:
+        first, last = [] if bos is None else [bos], [] if eos is None else [eos]
+        found = [np.array(first + x + last, dtype=np.int32) for _, some in _encoded(batch, path) for x in some]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *found])))
 
-    ship(SparkSession.active())
-    return F.pandas_udf(run, ArrayType(IntegerType()))(text)
+    return _arrow(run, ArrayType(IntegerType()), text)
 
 
 def decode(ids: Column, path: str) -> Column:
-    from pyspark.sql import SparkSession
+    def run(batch: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        return pa.array([t for a, b in _runs(sizes, RUN_IDS) for t in _decoded([x or [] for x in batch.slice(a, b - a).to_pylist()], path)], pa.string())
 
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series(_tokenizer(path).decode_batch([[] if x is None else [int(i) for i in x] for x in batch]))
+    return _arrow(run, StringType(), ids)
 
-    ship(SparkSession.active())
-    return F.pandas_udf(run, StringType())(ids)
+
+def round_trip(text: Column, path: str) -> Column:
+    """How many ids a whole text (null: empty) has, and whether they give it back; the ids stay in the worker."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        sizes, same = [], []
+        for texts, ids in _encoded(batch, path):
+            sizes += map(len, ids)
+            same += [a == b for a, b in zip(texts, _decoded(ids, path), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(same, pa.bool_())], ["n_tokens", "same"])
+
+    return _arrow(run, StructType().add("n_tokens", IntegerType()).add("same", BooleanType()), text)
 
 
 def word_ids(text: Column) -> Column:

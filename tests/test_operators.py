@@ -220,3 +220,44 @@ def test_streams(spark, tmp_path):
     query = streams.write(streams.cleaned(streams.documents(spark, str(tmp_path / "in"))).select("doc_id", "sha"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) in ([0, 3], [1, 3])
+
+
+def test_tokenizers_take_runs_of_bounded_size(spark, monkeypatch):
+    """However many texts an Arrow batch brings, few are encoded at once: what a tokenizer holds is some hundred times as large."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, runs, taken = public_tokenizers.path("byte_bpe_50k.json"), [], []
+    real = blocks._tokenizer(path)
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            taken.append(sum(len(str(t)) for t in texts))
+            return real.encode_batch_fast([str(t) for t in texts], **more)
+
+    monkeypatch.setattr(blocks, "_tokenizer", lambda _: Counting())
+    for name in ("pandas_udf", "arrow_udf"):
+        monkeypatch.setattr(F, name, lambda run, kind: lambda column: runs.append(run))
+    blocks.encode(F.col("text"), path)
+    texts = ["word " * 400] * 500 + ["long " * 100_000, "end"]
+    found = runs[0](pa.array(texts))
+    assert sum(taken) == sum(map(len, texts)) and max(taken) == 500_000 and sorted([0, *taken])[-2] <= 1 << 18
+    assert [len(x) for x in found.to_pylist()[-3:]] == [len(real.encode(t).ids) for t in texts[-3:]]
+
+
+def test_texts_to_ids_and_back(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "a b", "﻿цвет\x00 <|endoftext|> é", *(f"row {i} " * 300 for i in range(400)), "x" * 300_000]
+    tokenizer = Tokenizer.from_file(path)
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    both = docs.select("doc_id", "text", blocks.encode(F.col("text"), path, 7, 2).alias("ids"), blocks.round_trip(F.col("text"), path).alias("r"))
+    got = both.select("*", blocks.decode(F.slice("ids", F.lit(2), F.size("ids") - 2), path).alias("back")).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in got] == [[7, *x, 2] for x in ids]
+    backs = [tokenizer.decode(x) for x in ids]
+    assert [r.back for r in got] == backs
+    assert [tuple(r.r) for r in got] == [(len(x), b == (t or "")) for x, b, t in zip(ids, backs, texts, strict=True)]
+    assert spark.createDataFrame([(None,)], "ids array<int>").select(blocks.decode(F.col("ids"), path)).first()[0] == ""
