@@ -11,6 +11,8 @@ WORD = r"[A-Za-z]+(?:['’][A-Za-z]+)?|[А-Яа-яЁё]+|\p{Nd}+"
 EMAIL = r"(?U)(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+\.[A-Za-z]{2,}(?!\w)"
 PHONE = r"(?iuU)(?:тел(?:ефон)?|phone|mobile|call|контакт|звонить|номер)[\s\x1c-\x1f]*[:#-]?[\s\x1c-\x1f]*\+?\d[\d\s\x1c-\x1f().-]{8,}\d"
 CREDENTIAL = r"(?iuU)\b(?:api[_ -]?key|access[_ -]?token|client[_ -]?secret|password|пароль|секретный[\s\x1c-\x1f]+ключ)[\s\x1c-\x1f]*[:=][\s\x1c-\x1f]*[^\s\x1c-\x1f,;]{8,}"
+#: What is a letter from a to z in lower case.
+LATIN = "[A-Za-z\u0130\u212a]"
 URL = r"(?i)\b(?:https?://|www\.)\S+"
 REPEAT = r"([A-Za-zА-Яа-яЁё0-9])\1{31,}"
 #: What a text must hold at least for the expensive patterns to be worth a try.
@@ -21,11 +23,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def foreign(text: Column) -> Column:
+    """Whether a text holds anything but ASCII."""
+    return F.octet_length(text) != F.length(text)
+
+
 def language(text: Column) -> Column:
-    """ru from a quarter of Cyrillic letters on, en from four fifths of a-z on, else other."""
-    low = F.lower(text)
-    cyr = F.when(text.rlike("[Ѐ-ӿ]"), count_of(text, "[Ѐ-ӿ]")).otherwise(0)
-    return language_of(cyr, count_of(low, "[a-z]"))
+    """ru from a quarter of Cyrillic letters on, en from four fifths of a-z on, else other.
+
+    Without Cyrillic letters a single other one decides, so they aren't counted."""
+    counted = language_of(count_of(text, "[Ѐ-ӿ]"), count_of(F.lower(text), "[a-z]"))
+    return F.when(foreign(text) & text.rlike("[Ѐ-ӿ]"), counted).when(text.rlike(LATIN), "en").otherwise("other")
 
 
 def count_of(text: Column, signs: str) -> Column:
@@ -59,6 +67,10 @@ def contact_or_secret(text: Column) -> Column:
     return F.coalesce(sensitive(text).isNotNull(), F.lit(False))
 
 
+def distinct_words(text: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(words(text), F.lower)))
+
+
 def reason(text: Column, n: Column, lang: Column, min_chars: int = 300, min_words: int = 50, allowed: tuple[str, ...] = ("ru", "en")) -> Column:
     """Name of the first cleaning rule that rejects a text of n words; null if all pass.
 
@@ -66,15 +78,16 @@ def reason(text: Column, n: Column, lang: Column, min_chars: int = 300, min_word
     """
     lines = F.split(text, "\n", -1)
     control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0e-\x1f]"))
-    links = F.when(text.contains("://") | F.lower(text).contains("www."), F.regexp_count(text, F.lit(URL))).otherwise(0)
-    distinct = F.size(F.array_distinct(F.transform(words(text), F.lower)))
+    links = F.when(text.contains("://") | text.rlike(r"[wW]{3}\."), F.regexp_count(text, F.lit(URL))).otherwise(0)
+    #: The words of a prefix are words of the text, but for the last, which may be cut; mostly they are enough.
+    few = F.when((distinct_words(F.substr(text, F.lit(1), n)) - 1) * 25 >= n, False).otherwise(distinct_words(text) * 25 < n)
     same = F.transform(F.array(lines), lambda x: (F.size(x) > 20) & (F.size(F.array_distinct(x)) <= F.greatest(F.lit(1), F.floor(F.size(x) / 5))))[0]
     return (
         F.when(F.coalesce(text, F.lit("")) == "", "empty_removed")
         .when(text.contains("�") | (control > F.greatest(F.lit(2), F.floor(F.length(text) / 1000))), "corrupt_removed")
         .when((F.length(text) < min_chars) | (n < min_words), "too_short_removed")
         .when(text.rlike(REPEAT), "noise_repeated_character_noise_removed")
-        .when(F.when(n >= 100, distinct * 25 < n).otherwise(False), "noise_low_lexical_diversity_removed")
+        .when(F.when(n >= 100, few).otherwise(False), "noise_low_lexical_diversity_removed")
         .when(links > F.greatest(F.lit(5), F.floor(n / 100)), "noise_link_spam_removed")
         .when(same, "repetitive_noise_removed")
         .otherwise(F.coalesce(F.concat(F.lit("sensitive_"), sensitive(text), F.lit("_removed")), F.when(~lang.isin(*allowed), "language_filtered_removed")))

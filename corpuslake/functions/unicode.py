@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import ship
+from .text import foreign
 
 #: Tags whose content isn't seen, tags that end a line where they open and where they close.
 UNSEEN = ("script", "style", "noscript")
@@ -35,6 +36,8 @@ BOILERPLATE = (
 _PHRASES = BOILERPLATE[BOILERPLATE.index("(?:") + 3 : BOILERPLATE.index(")\\b")].split("|")
 #: ASCII that a document must hold for its normal form to need more than blanks and line ends (the phrases in any case).
 SIGNS, FRAMES = ("<", "&"), ("all rights reserved", "subscribe to our newsletter", "project gutenberg ebook")
+#: What blanks and line ends must be for a text's normal form to need more than its ends trimmed.
+UNTIDY = r"[\r\x0b\x0c\x1c-\x1f]|[ \t]\n|\n\n\n"
 #: White space of ASCII as Python counts it.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
@@ -151,14 +154,10 @@ def _where(needed: Column, python, native: Column, text: Column) -> Column:
     return F.when(needed, python(F.when(needed, text))).otherwise(native)
 
 
-def _foreign(text: Column) -> Column:
-    """Whether a text holds anything but ASCII."""
-    return F.octet_length(text) != F.length(text)
-
-
 def _needs_python(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(Column.__or__, [*(text.contains(x) for x in SIGNS), *(low.contains(x) for x in FRAMES)], _foreign(text))
+    #: Put into lower case once, in an array, for all the phrases.
+    framed = F.transform(F.array(F.lower(text)), lambda low: reduce(Column.__or__, (low.contains(x) for x in FRAMES)))[0]
+    return reduce(Column.__or__, (text.contains(x) for x in SIGNS), foreign(text)) | framed
 
 
 def strip_html(text: Column, ended: bool = False) -> Column:
@@ -170,12 +169,12 @@ def strip_html(text: Column, ended: bool = False) -> Column:
 
 def nfc(text: Column) -> Column:
     """Normal form C of a text column; ASCII stays in the JVM."""
-    return _where(_foreign(text), _nfc, text, text)
+    return _where(foreign(text), _nfc, text, text)
 
 
 def folded(text: Column) -> Column:
     """NFKC and case folding; ASCII stays in the JVM."""
-    return _where(_foreign(text), _folded, F.lower(text), text)
+    return _where(foreign(text), _folded, F.lower(text), text)
 
 
 def dedup_key(text: Column) -> Column:
@@ -187,5 +186,6 @@ def normalize_text(text: Column) -> Column:
     """Byte-order mark, line ends, NFC, HTML, e-book frame, late boilerplate, blanks at line ends, runs of blank lines."""
     lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x0b\x0c\x1c-\x1e]", "\n")
     ends = F.regexp_replace(lines, r"[ \t\x1f]+(?=\n|\z)", "")
-    native = F.btrim(F.regexp_replace(ends, "\n{3,}", "\n\n"), F.lit(BLANKS))
+    tidy = F.when(text.rlike(UNTIDY), F.regexp_replace(ends, "\n{3,}", "\n\n")).otherwise(text)
+    native = F.btrim(tidy, F.lit(BLANKS))
     return _where(_needs_python(text), _document, native, text)
